@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locusmill.llm import bpe, langid, mixing
+from locusmill.llm import bpe, jaccard, langid, mixing, suffix
 from locusmill.session import ship
 
 
@@ -21,6 +21,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.length_histogram(bpe.token_lengths(docs, byte_bpe(), keep=[]))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    return suffix.repeated_passages(docs).select("doc_id", "start", "stop", "n_words", "kept")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet").withColumn("held_out", langid.held_out())
     model = langid.fit(docs.where("NOT held_out AND doc_id IS NOT NULL"))
@@ -36,11 +41,17 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(ship(spark).read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_language_id": op3_language_id,
     "op6_bpe": op6_bpe,
     "op9_mixing": op9_mixing,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {"op9_mixing": mixing.targets_sql()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locusmill.llm import bpe, jaccard, langid, mixing, suffix
+from locusmill.llm import ann, bpe, jaccard, langid, mixing, suffix, topk
 from locusmill.session import ship
 
 
@@ -32,10 +32,18 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, keep=["doc_id", "held_out"])
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(ship(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(ship(spark).read.parquet(f"{sf_dir}/documents.parquet"), byte_bpe())
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(ship(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -49,9 +57,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_language_id": op3_language_id,
+    "op5_ann": op5_ann,
     "op6_bpe": op6_bpe,
+    "op7_exact_topk": op7_exact_topk,
     "op9_mixing": op9_mixing,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLES: dict[str, str] = {"op9_mixing": mixing.targets_sql()}
+ORACLES: dict[str, str] = {"op7_exact_topk": topk.SQL, "op9_mixing": mixing.targets_sql()}

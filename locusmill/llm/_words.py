@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 _ODD = U(0x9E3779B97F4A7C15)
-_GROUP = 1 << 22  # bytes hashed at a time
+_GROUP = 1 << 20  # bytes hashed at a time
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -98,7 +98,7 @@ def shingle_sets(texts: pa.Array, k: int):
             yield np.empty(0, U)
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 24):
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 22):
     """Slices of a batch with about `most` text bytes each, so that the arrays above stay small."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     a = 0

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locusmill.llm import ann, bpe, jaccard, langid, mixing, suffix, topk
+from locusmill.llm import ann, bpe, chat, html, jaccard, langid, mixing, suffix, topk
 from locusmill.session import ship
 
 
@@ -32,6 +32,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, keep=["doc_id", "held_out"])
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = ship(spark).read.parquet(f"{sf_dir}/conversations.parquet")
+    return chat.preference_pairs(turns, chat.consecutive_pairs(turns)).drop("chosen_segments", "rejected_segments")
+
+
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(ship(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -44,6 +49,10 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(ship(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(ship(spark).read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -57,11 +66,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_language_id": op3_language_id,
+    "op4_chat_formatting": op4_chat_formatting,
     "op5_ann": op5_ann,
     "op6_bpe": op6_bpe,
     "op7_exact_topk": op7_exact_topk,
+    "op8_html_extraction": op8_html_extraction,
     "op9_mixing": op9_mixing,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLES: dict[str, str] = {"op7_exact_topk": topk.SQL, "op9_mixing": mixing.targets_sql()}
+ORACLES: dict[str, str] = {"op4_chat_formatting": chat.SQL, "op7_exact_topk": topk.SQL, "op9_mixing": mixing.targets_sql()}

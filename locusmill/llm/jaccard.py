@@ -252,41 +252,57 @@ def _members(regions: DataFrame, percent: int, hold: int = 200_000) -> DataFrame
 def close_pairs(bits: list[np.ndarray], n: np.ndarray, label: np.ndarray, percent: int, cell: int = CELL) -> np.ndarray:
     """All pairs (i, j) with different labels that bitmaps and sizes don't rule out: recursive Voronoi cells with triangle windows.
 
-    Sets within the radius differ in at most (100 - percent) / (100 + percent) * (n_i + n_j) shingles, and bitmaps in no more bits."""
-    words = min(len(b) for b in bits)
-    top = np.stack([folded(b, words) for b in bits])
+    Sets within the radius differ in at most (100 - percent) / (100 + percent) * (n_i + n_j) shingles, and bitmaps in no more bits.
+    Bitmaps are compared in tiles of half a million words, however many documents there are."""
     share = (100 - percent) / (100 + percent)
     found: list[np.ndarray] = []
 
+    def stacked(at: np.ndarray, words: int) -> np.ndarray:
+        return np.stack([folded(bits[i], words) for i in at])
+
     def direct(at: np.ndarray) -> None:
-        for a in range(0, len(at), 64):
-            i = at[a : a + 64]
-            differ = np.bitwise_count(top[i][:, None, :] ^ top[at][None]).sum(axis=2, dtype=np.int64)
-            ni, nj = n[i][:, None], n[at][None]
-            ok = (differ <= share * (ni + nj) + 1e-9) & (label[i][:, None] != label[at][None]) & (100 * np.minimum(ni, nj) >= percent * np.maximum(ni, nj)) & (i[:, None] < at[None])
-            x, y = np.nonzero(ok)
-            if len(x):
-                found.append(np.stack([i[x], at[y]], 1))
+        """at: in order of size."""
+        size, own = n[at], label[at]
+        if (own == own[0]).all():
+            return
+        a = 0
+        while a < len(at) - 1:
+            b = min(a + 64, int(np.searchsorted(size, 2 * size[a], "right")))
+            end = int(np.searchsorted(size, size[b - 1] * 100 // percent, "right"))
+            words = len(bits[at[a]])
+            left, step = stacked(at[a:b], words), max(32, (1 << 19) // (64 * words))
+            for c in range(a + 1, end, step):
+                d = min(end, c + step)
+                differ = np.bitwise_count(left[:, None, :] ^ stacked(at[c:d], words)[None]).sum(axis=2, dtype=np.int64)
+                x, y = size[a:b][:, None], size[c:d][None]
+                ok = (differ <= share * (x + y) + 1e-9) & (own[a:b][:, None] != own[c:d][None]) & (100 * x >= percent * y) & (np.arange(a, b)[:, None] < np.arange(c, d)[None])
+                i, j = np.nonzero(ok)
+                if len(i):
+                    found.append(np.stack([at[a + i], at[c + j]], 1))
+            a = b
 
     def cut(at: np.ndarray, depth: int) -> None:
-        if len(at) <= cell:
+        if len(at) <= cell or (label[at] == label[at[0]]).all():
             return direct(at)
-        pivots = at[np.linspace(0, len(at) - 1, 8).astype(int)]
-        far = np.bitwise_count(top[at][:, None, :] ^ top[pivots][None]).sum(axis=2, dtype=np.int64)
+        words = min(len(bits[i]) for i in at)
+        top = stacked(at, words)
+        pivots = np.linspace(0, len(at) - 1, 8).astype(int)
+        far = np.stack([np.bitwise_count(top ^ top[p]).sum(axis=1, dtype=np.int64) for p in pivots], 1)
         radius = share * 2 * n[at].max()
         inside = far - far.min(axis=1, keepdims=True) <= 2 * radius
-        cells = [at[inside[:, p]] for p in range(len(pivots))]
-        if depth > 8 or sum(map(len, cells)) > 3 * len(at) or max(map(len, cells)) > 0.9 * len(at):  # pivots don't separate here
+        if depth > 8 or inside.sum() > 3 * len(at) or inside.sum(axis=0).max() > 0.9 * len(at):  # pivots don't separate here
             return direct(at)
-        for c in cells:
-            cut(c, depth + 1)
+        for p in range(len(pivots)):
+            cut(at[inside[:, p]], depth + 1)
 
     order = np.argsort(n, kind="stable")  # sizes further apart than the radius never meet
     gap = np.flatnonzero(np.r_[True, 100 * n[order][:-1] < percent * n[order][1:]])
     for a, b in zip(gap, np.r_[gap[1:], len(order)]):
         if b - a > 1:
-            cut(np.sort(order[a:b]), 0)
-    return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+            cut(order[a:b], 0)
+    if not found:
+        return np.empty((0, 2), np.int64)
+    return np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
 
 
 def _candidates(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -95,7 +95,7 @@ def _neighbours(order: list[str], pick):
         for batch in batches:
             if not len(batch):
                 continue
-            v = [batch.column(c).to_numpy() for c in order]
+            v = [batch.column(c).to_numpy(zero_copy_only=False) for c in order]
             fresh = 0
             if kept is not None:
                 fresh = len(kept[0])
@@ -131,18 +131,22 @@ def _pick_stretches(v, new_key, new_part, key_first, part_first, fresh):
 
 
 def _pick_windows(v, new_key, new_part, key_first, part_first, fresh):
-    """Windows found in more than one document: the first one is kept (kind 0), those of other documents are cut (kind 1)."""
-    key, row, lo = v
+    """Windows found in more than one document: the first one is kept (kind 0), those of other documents are cut (kind 1).
+    A row is all that one document has of a window: its first start, and the later ones."""
+    key, row, lo, more = v
     index = np.arange(len(key))
-    again = (row != row[key_first]) & (index >= fresh)
-    turn = np.flatnonzero(again & (np.r_[row[:1], row[:-1]] == row[key_first]))
-    at = np.r_[key_first[turn], np.flatnonzero(again)]
-    kind = np.r_[np.zeros(len(turn)), np.ones(int(again.sum()))].astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(row[at]), pa.array(lo[at]), pa.array(lo[at]), pa.array(kind)], names=["row", "lo", "hi", "kind"])
+    again = np.flatnonzero((row != row[key_first]) & (index >= fresh))
+    turn = again[np.r_[row[:1], row[:-1]][again] == row[key_first][again]]
+    later = [(i, np.frombuffer(more[i], np.int32)) for i in again if more[i] is not None]
+    of = np.repeat(np.array([i for i, _ in later], np.int64), [len(x) for _, x in later])
+    at = np.r_[key_first[turn], again, of].astype(np.int64)
+    start = np.concatenate([lo[key_first[turn]], lo[again], *(x for _, x in later)]).astype(np.int32)
+    kind = np.r_[np.zeros(len(turn)), np.ones(len(again) + len(of))].astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(row[at]), pa.array(start), pa.array(start), pa.array(kind)], names=["row", "lo", "hi", "kind"])
 
 
 def _sorted(df: DataFrame, order: list[str]) -> DataFrame:
-    return df.select(*order).repartition(F.col(order[0])).sortWithinPartitions(*order)
+    return df.repartition(F.col(order[0])).sortWithinPartitions(*order)
 
 
 def repeated_passages(docs: DataFrame, text: str = "text", least: int = 50, k: int = 10) -> DataFrame:
@@ -179,10 +183,15 @@ def repeated_passages(docs: DataFrame, text: str = "text", least: int = 50, k: i
                         owner.append(np.full(len(s), i))
                 if starts:
                     s, o = np.concatenate(starts), np.concatenate(owner)
-                    yield pa.RecordBatch.from_arrays([pa.array(span(s, s + least).view(np.int64)), pa.array(part.column("row").to_numpy()[o]), pa.array((s - rows[o]).astype(np.int32))], names=["key", "row", "lo"])
+                    key, lo = span(s, s + least).view(np.int64), (s - rows[o]).astype(np.int32)
+                    by = np.lexsort((lo, key, o))
+                    key, lo, o = key[by], lo[by], o[by]
+                    new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (o[1:] != o[:-1])])
+                    more = [lo[a + 1 : b].tobytes() if b - a > 1 else None for a, b in zip(new, np.r_[new[1:], len(o)])]
+                    yield pa.RecordBatch.from_arrays([pa.array(key[new]), pa.array(part.column("row").to_numpy()[o[new]]), pa.array(lo[new]), pa.array(more, pa.binary())], names=["key", "row", "lo", "more"])
 
     order = ["key", "row", "lo"]
-    one = _sorted(texts.mapInArrow(windows, "key long, row long, lo int"), order).mapInArrow(_neighbours(order, _pick_windows), "row long, lo int, hi int, kind int")
+    one = _sorted(texts.mapInArrow(windows, "key long, row long, lo int, more binary"), order).mapInArrow(_neighbours([*order, "more"], _pick_windows), "row long, lo int, hi int, kind int")
     spans = stretches.where("kind < 2").union(one).groupBy("row").agg(F.collect_list(F.struct("kind", "lo", "hi")).alias("z"))
     rows = spans.join(found.select("row", "doc_id", "th"), "row").select("doc_id", "th", F.col("z.kind").alias("kind"), F.col("z.lo").alias("lo"), F.col("z.hi").alias("hi"))
 

@@ -10,9 +10,15 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
+#: Rows in a batch that goes to Python. Texts are long: Spark's own 10,000 rows are tens of MB, several times over.
+ARROW_ROWS = "2000"
+
 
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the executors once for each application, for workers whose PYTHONPATH doesn't have it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":  # left as it is where it has been set
+        spark.conf.set(name, ARROW_ROWS)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = os.path.dirname(os.path.abspath(__file__))

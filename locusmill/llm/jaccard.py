@@ -124,43 +124,53 @@ def _features(docs: DataFrame, text: str, k: int, percent: int, levels: np.ndarr
     return written(rows.withColumn("row", F.monotonically_increasing_id()), "sets")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
-    """Those pairs (a, b: rows of sets) whose shingle sets have the overlap asked for; only texts of rows in pairs are moved."""
-    ids = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
-    wanted = written(ids.join(sets.select("row", "doc_id", "h1", "h2"), "row"), "wanted")
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str, k: int, percent: int, group: int = 1000) -> DataFrame:
+    """Those pairs (a, b: rows of sets) whose shingle sets have the overlap asked for.
+
+    Each text in a pair is read once, and its set goes to the groups of `group` pairs in which it is compared: all pairs of one b meet there
+    with b's set, which is repeated for each further group. What is moved is about one set for each pair."""
+    pairs = pairs.where("a IS NOT NULL AND b IS NOT NULL")
+    groups = pairs.groupBy(F.col("b").alias("g")).agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("salts"))
+    left = pairs.join(groups, F.col("b") == F.col("g")).select(F.col("a").alias("row"), F.struct("g", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("side")).alias("t"))
+    right = groups.select(F.col("g").alias("row"), F.explode(F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda i: F.struct(F.col("g"), i.alias("salt"), F.lit(0).alias("side")))).alias("t"))
+    targets = left.union(right).groupBy("row").agg(F.collect_list("t").alias("t"))
+    wanted = written(targets.join(sets.select("row", "doc_id", "h1", "h2"), "row").select("row", "doc_id", "h1", "h2", F.col("t.g").alias("g"), F.col("t.salt").alias("salt"), F.col("t.side").alias("side")), "wanted")
     src = docs.select(docs["doc_id"].cast("long").alias("__id"), docs[text].cast("string").alias("text"))
-    found = src.join(small(wanted), F.col("__id").eqNullSafe(F.col("doc_id"))).select("row", "h1", "h2", "text")
+    found = src.join(small(wanted), F.col("__id").eqNullSafe(F.col("doc_id"))).select("row", "h1", "h2", "g", "salt", "side", "text")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows that share an id, those whose text is the one meant."""
         for batch in batches:
-            for part in pieces(batch, "text"):
-                row, blob = [], []
-                for r, a, b, s in zip(part.column("row").to_pylist(), part.column("h1").to_pylist(), part.column("h2").to_pylist(), shingle_sets(part.column("text"), k)):
+            for part in pieces(batch, "text", 1 << 20):
+                out: list[list] = [[], [], [], [], []]
+                cols = [part.column(c).to_pylist() for c in ("row", "h1", "h2", "g", "salt", "side")]
+                for r, a, b, g, salt, side, s in zip(*cols, shingle_sets(part.column("text"), k)):
                     t = mix(s.copy())
                     if len(s) and int(t.sum(dtype=U).view(np.int64)) == a and int(np.bitwise_xor.reduce(mix(t + U(1))).view(np.int64)) == b:
-                        row.append(r)
-                        blob.append(s.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(blob, pa.binary())], names=["row", "s"])
-
-    texts = written(found.mapInArrow(check, "row long, s binary").dropDuplicates(["row"]), "texts")
-    both = pairs.join(texts.select(F.col("row").alias("a"), F.col("s").alias("sa")), "a").join(texts.select(F.col("row").alias("b"), F.col("s").alias("sb")), "b")
+                        blob = s.tobytes()
+                        for o, x in zip(out, (g, salt, side, [r] * len(g), [blob] * len(g))):
+                            o += x
+                yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["g", "salt", "side", "row", "s"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, one = None, np.empty(0, U)
         for batch in batches:
-            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-            ok = np.zeros(len(a), bool)
-            for i, (x, y) in enumerate(zip(batch.column("sa"), batch.column("sb"))):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    continue
-                at = np.searchsorted(x, y)
-                common = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                ok[i] = 100 * common >= percent * (len(x) + len(y) - common)
-            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
-
-    out = written(both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long"), "verified")
-    dropped(wanted, texts)
+            a, b = [], []
+            for g, salt, side, r, s in zip(*(batch.column(c).to_pylist() for c in ("g", "salt", "side", "row")), batch.column("s")):
+                y = np.frombuffer(s.as_buffer(), U)
+                if side == 0:
+                    key, one = (g, salt), y.copy()
+                elif key == (g, salt) and 100 * min(len(one), len(y)) >= percent * max(len(one), len(y)):
+                    at = np.searchsorted(one, y)
+                    common = int((one[np.minimum(at, len(one) - 1)] == y).sum())
+                    if 100 * common >= percent * (len(one) + len(y) - common):
+                        a.append(r)
+                        b.append(g)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    dealt = found.mapInArrow(deal, "g long, salt int, side int, row long, s binary").repartition(F.col("g"), F.col("salt")).sortWithinPartitions("g", "salt", "side")
+    out = written(dealt.mapInArrow(compare, "a long, b long").distinct(), "verified")
+    dropped(wanted)
     return out
 
 

@@ -21,58 +21,65 @@ def label_number(name: Column) -> Column:
     return F.when(name == "Err", 0).when(name == "Dup", 1).when(name == "Hap", 2).when(name.isin("Col", "Col_Err", "Col_Del"), 3)
 
 
-def runs(segments: DataFrame, ref: str, query: str, in_stratum: Column) -> DataFrame:
-    """Parts of label runs: run, ref, query, sub (run of query inside the run), bases.
+def runs(segments: DataFrame, ref: str, query: str, in_stratum: Column, by: list[str] | None = None) -> DataFrame:
+    """Parts of label runs: run, ref, query, sub (run of query inside the run), bases; separately for each value of `by`.
 
     A run is a stretch of rows in the stratum, one right after the other in the order of all rows of the contig, with one label `ref`. Distance
     doesn't end a run; a row outside the stratum does."""
-    rows = tiled(segments.withColumn("__in", F.coalesce(in_stratum, F.lit(False))), F.col("start"))
-    rows = neighbour(rows, ["contig"], ["start"], ["__in", ref, query], "__p")
-    new = F.when(F.col("__in") & F.col("__p.__in").eqNullSafe(F.lit(True)) & (F.col(f"__p.{ref}") == F.col(ref)), 0).otherwise(1)
-    rows = rows.withColumn("__new", new).withColumn("__nq", F.greatest(new, F.when(F.col(f"__p.{query}") == F.col(query), 0).otherwise(1)))
-    rows = running(rows, ["contig"], ["start"], {"run": ("sum", F.col("__new")), "sub": ("sum", F.col("__nq"))})
+    keys = [*(by or []), "contig"]
+    rows = segments.select(*keys, "start", "end", F.col(ref).alias("__r"), F.col(query).alias("__q"), F.coalesce(in_stratum, F.lit(False)).alias("__in"))
+    rows = neighbour(tiled(rows, F.col("start")), keys, ["start"], ["__in", "__r", "__q"], "__p")
+    new = F.when(F.col("__in") & F.col("__p.__in").eqNullSafe(F.lit(True)) & (F.col("__p.__r") == F.col("__r")), 0).otherwise(1)
+    rows = rows.withColumn("__new", new).withColumn("__nq", F.greatest("__new", F.when(F.col("__p.__q") == F.col("__q"), 0).otherwise(1)))
+    rows = running(rows, keys, ["start"], {"run": ("sum", F.col("__new")), "sub": ("sum", F.col("__nq"))})
     known = lambda c: F.when(F.col(c) < 0, UNKNOWN).otherwise(F.col(c)).cast("int")
-    return rows.where("__in").groupBy("contig", "run", "sub").agg(F.first(known(ref)).alias("ref"), F.first(known(query)).alias("query"), F.sum(F.col("end") - F.col("start")).alias("bases"))
+    return rows.where("__in").groupBy(*keys, "run", "sub").agg(F.first(known("__r")).alias("ref"), F.first(known("__q")).alias("query"), F.sum(F.col("end") - F.col("start")).alias("bases"))
 
 
-def with_bins(parts: DataFrame, bins: DataFrame) -> DataFrame:
+def with_bins(parts: DataFrame, bins: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Adds the run's length and each size bin (b_start <= length < b_end) that it falls into; bins may overlap. bins is a handful of rows."""
-    length = parts.groupBy("contig", "run").agg(F.sum("bases").alias("len"))
-    return parts.join(length, ["contig", "run"]).join(F.broadcast(bins), (F.col("len") >= F.col("b_start")) & (F.col("len") < F.col("b_end"))).select("contig", "run", "sub", "ref", "query", "bases", "len", "bin")
+    from pyspark.sql import Window
+
+    keys = [*(by or []), "contig", "run"]
+    parts = parts.withColumn("len", F.sum("bases").over(Window.partitionBy(*keys)))
+    return parts.join(F.broadcast(bins), (F.col("len") >= F.col("b_start")) & (F.col("len") < F.col("b_end"))).select(*keys, "sub", "ref", "query", "bases", "len", "bin")
 
 
-def confusion(parts: DataFrame, metric: str, threshold: float = 0.4) -> DataFrame:
-    """bin, ref, query, value from with_bins().
+def confusion(parts: DataFrame, metric: str, threshold: float = 0.4, by: list[str] | None = None) -> DataFrame:
+    """bin, ref, query, value (for each value of `by`) from with_bins().
 
     base: bases. overlap: runs of which query labels make up more than the threshold (a run without such a label counts as unknown). aun: squares of
     the lengths of query stretches inside runs, over all bases of ref in the bin."""
+    by = list(by or [])
     if metric == "base":
-        return parts.groupBy("bin", "ref", "query").agg(F.sum("bases").cast("double").alias("value"))
+        return parts.groupBy(*by, "bin", "ref", "query").agg(F.sum("bases").cast("double").alias("value"))
     if metric == "overlap":
-        per = parts.groupBy("contig", "run", "bin", "ref", "len", "query").agg(F.sum("bases").alias("b"))
+        per = parts.groupBy(*by, "contig", "run", "bin", "ref", "len", "query").agg(F.sum("bases").alias("b"))
         hits = F.collect_set(F.when(F.col("b") / F.col("len") > threshold, F.col("query")))
-        return per.groupBy("contig", "run", "bin", "ref").agg(hits.alias("h")).select("bin", "ref", F.explode(F.when(F.size("h") == 0, F.array(F.lit(UNKNOWN))).otherwise(F.col("h"))).alias("query")).groupBy("bin", "ref", "query").agg(F.count(F.lit(1)).cast("double").alias("value"))
-    total = parts.groupBy(F.col("bin").alias("tb"), F.col("ref").alias("tr")).agg(F.sum("bases").alias("t"))
-    squares = parts.groupBy("bin", "ref", "query").agg(F.sum(F.col("bases") * F.col("bases")).alias("sq"))
-    return squares.join(total, (F.col("bin") == F.col("tb")) & (F.col("ref") == F.col("tr"))).select("bin", "ref", "query", (F.col("sq") / F.col("t")).alias("value"))
+        per = per.groupBy(*by, "contig", "run", "bin", "ref").agg(hits.alias("h"))
+        return per.select(*by, "bin", "ref", F.explode(F.when(F.size("h") == 0, F.array(F.lit(UNKNOWN))).otherwise(F.col("h"))).alias("query")).groupBy(*by, "bin", "ref", "query").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    from pyspark.sql import Window
+
+    squares = parts.groupBy(*by, "bin", "ref", "query").agg(F.sum(F.col("bases") * F.col("bases")).alias("sq"), F.sum("bases").alias("t"))
+    return squares.select(*by, "bin", "ref", "query", (F.col("sq") / F.sum("t").over(Window.partitionBy(*by, "bin", "ref"))).alias("value"))
 
 
 COMPARISONS = {"truth_vs_prediction": ("truth", "pred"), "prediction_vs_truth": ("pred", "truth"), "truth": ("truth", "truth"), "prediction": ("pred", "pred")}
 
 
 def summary(segments: DataFrame, bins: DataFrame, strata: dict[str, Column], comparisons: list[str] | None = None, metrics: list[str] | None = None, threshold: float = 0.4) -> DataFrame:
-    """stratum, comparison, metric, bin, ref, query, value for all asked for; aun only where truth is the reference."""
+    """stratum, comparison, metric, bin, ref, query, value for all asked for; aun only where truth is the reference.
+
+    Each segment is copied to its strata and comparisons, so that one pass finds the runs of all of them."""
+    by = ["stratum", "comparison"]
+    case = [F.struct(F.lit(s).alias("stratum"), F.lit(c).alias("comparison"), F.coalesce(inside, F.lit(False)).alias("inside"), F.col(COMPARISONS[c][0]).alias("ref"), F.col(COMPARISONS[c][1]).alias("query")) for s, inside in strata.items() for c in comparisons or COMPARISONS]
+    rows = segments.select("contig", "start", "end", F.explode(F.array(*case)).alias("z")).select("contig", "start", "end", "z.*")
+    parts = with_bins(runs(rows, "ref", "query", F.col("inside"), by), bins, by)
     out = None
-    for name, inside in strata.items():
-        for c in comparisons or COMPARISONS:
-            ref, query = COMPARISONS[c]
-            rows = segments if ref != query else segments.withColumn("__same", F.col(ref))
-            parts = with_bins(runs(rows, ref, query if ref != query else "__same", inside), bins)
-            for m in metrics or ("base", "overlap", "aun"):
-                if m == "aun" and ref != "truth":
-                    continue
-                one = confusion(parts, m, threshold).select(F.lit(name).alias("stratum"), F.lit(c).alias("comparison"), F.lit(m).alias("metric"), "bin", "ref", "query", "value")
-                out = one if out is None else out.unionByName(one)
+    for m in metrics or ("base", "overlap", "aun"):
+        own = parts.where(F.col("comparison").isin("truth_vs_prediction", "truth")) if m == "aun" else parts
+        one = confusion(own, m, threshold, by).select("stratum", "comparison", F.lit(m).alias("metric"), "bin", "ref", "query", "value")
+        out = one if out is None else out.unionByName(one)
     return out
 
 

@@ -404,10 +404,10 @@ def a15_read_counts(spark, sf_dir):
     return D.alignments(spark, sf_dir).groupBy(F.expr("read div 8").alias("read")).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("secondary")).alias("n_primary"))
 
 
-@query("SELECT read, contig FROM (SELECT read // 8 AS read, arg_min(contig, read) AS contig FROM aln GROUP BY 1)")
+@query("SELECT read, contig FROM (SELECT read // 8 AS read, arg_min(contig, {'a': read, 'b': contig}) AS contig FROM aln GROUP BY 1)")
 def a16_first_record(spark, sf_dir):
-    """One record for each read: the first by line number."""
-    return D.alignments(spark, sf_dir).groupBy(F.expr("read div 8").alias("r")).agg(F.min_by("contig", "read").alias("contig")).withColumnRenamed("r", "read")
+    """One record for each read: the first by line number, then contig."""
+    return D.alignments(spark, sf_dir).groupBy(F.expr("read div 8").alias("r")).agg(F.min_by("contig", F.struct("read", "contig")).alias("contig")).withColumnRenamed("r", "read")
 
 
 # windows
@@ -516,8 +516,8 @@ def _summary_sql() -> tuple[str, str]:
 SUMMARY, SUMMARY_VIEWS = _summary_sql()
 
 
-def summary_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.summary(labeled(spark, sf_dir), bins(spark), {"whole_genome": F.lit(True), "annotation_2": M.stratum_of(2)})
+def summary_of(spark: SparkSession, sf_dir: str, metrics: list[str] | None = None) -> DataFrame:
+    return M.summary(labeled(spark, sf_dir), bins(spark), {"whole_genome": F.lit(True), "annotation_2": M.stratum_of(2)}, metrics=metrics)
 
 
 @query(SUMMARY, SUMMARY_VIEWS)
@@ -535,27 +535,27 @@ lab1 AS (SELECT *, CASE WHEN total_ref > 0 THEN 100 * tp_recall / (total_ref + 1
 
 @query("SELECT stratum, metric, bin, label, tp_recall, total_ref, tp_precision, total_query, recall, precision, CASE WHEN recall IS NOT NULL AND precision IS NOT NULL THEN 2 * recall * precision / (recall + precision + 1e-9::DOUBLE) END AS f1 FROM lab1", f"{SUMMARY_VIEWS}, {SUM0}, {LABEL_SQL}")
 def m6_label_scores(spark, sf_dir):
-    return M.per_label(summary_of(spark, sf_dir).where("metric <> 'aun'"), KEY3)
+    return M.per_label(summary_of(spark, sf_dir, ["base", "overlap"]), KEY3)
 
 
 @query("SELECT stratum, metric, bin, comparison, 100 * sum(CASE WHEN ref = query THEN value ELSE 0 END) / (sum(value) + 1e-9::DOUBLE) AS accuracy FROM summ WHERE ref < 4 AND metric <> 'aun' AND comparison IN ('truth_vs_prediction', 'prediction_vs_truth') GROUP BY ALL", f"{SUMMARY_VIEWS}, {SUM0}")
 def m9_accuracy(spark, sf_dir):
-    return M.accuracy(summary_of(spark, sf_dir).where("metric <> 'aun'"), KEY3)
+    return M.accuracy(summary_of(spark, sf_dir, ["base", "overlap"]), KEY3)
 
 
 @query("SELECT b.stratum, b.bin, b.ref AS label, coalesce(a.value, 0.0) / b.value AS ratio FROM (SELECT * FROM summ WHERE metric = 'aun' AND ref = query AND comparison = 'truth') b LEFT JOIN (SELECT * FROM summ WHERE metric = 'aun' AND ref = query AND comparison = 'truth_vs_prediction') a ON a.stratum = b.stratum AND a.bin = b.bin AND a.ref = b.ref", f"{SUMMARY_VIEWS}, {SUM0}")
 def m3_aun_ratio(spark, sf_dir):
-    return M.aun_ratio(summary_of(spark, sf_dir), ["stratum", "bin"])
+    return M.aun_ratio(summary_of(spark, sf_dir, ["aun"]), ["stratum", "bin"])
 
 
 @query("SELECT stratum, comparison, metric, bin, ref, query, value, (sum(value) OVER (PARTITION BY stratum, comparison, metric, bin, ref)) AS row_total, 100 * value / sum(value) OVER (PARTITION BY stratum, comparison, metric, bin, ref) AS row_percent, 100 * value / sum(value) OVER (PARTITION BY stratum, comparison, metric, bin) AS total_percent FROM summ WHERE metric <> 'aun'", f"{SUMMARY_VIEWS}, {SUM0}")
 def m5_percentages(spark, sf_dir):
-    return M.percentages(summary_of(spark, sf_dir).where("metric <> 'aun'"), ["stratum", "comparison", "metric", "bin"])
+    return M.percentages(summary_of(spark, sf_dir, ["base", "overlap"]), ["stratum", "comparison", "metric", "bin"])
 
 
 @query()
 def m7_m8_averages(spark, sf_dir):
-    return M.averages(M.per_label(summary_of(spark, sf_dir).where("metric <> 'aun'"), KEY3), KEY3)
+    return M.averages(M.per_label(summary_of(spark, sf_dir, ["base", "overlap"]), KEY3), KEY3)
 
 
 TABLE_SQL = "tab AS (SELECT c AS cov, (c * 7 % 11 / 10.0)::FLOAT AS p0, (c * 5 % 11 / 10.0)::FLOAT AS p1, (c * 3 % 11 / 10.0)::FLOAT AS p2, (c % 11 / 10.0)::FLOAT AS p3 FROM range(0, 30) t(c)), g7s AS (SELECT x.contig, x.s, x.e, (CASE WHEN p0 >= p1 AND p0 >= p2 AND p0 >= p3 THEN 0 WHEN p1 >= p2 AND p1 >= p3 THEN 1 WHEN p2 >= p3 THEN 2 ELSE 3 END)::INTEGER AS component FROM seg x JOIN tab ON tab.cov = least(x.cov, 29))"

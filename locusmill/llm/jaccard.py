@@ -259,13 +259,14 @@ def _members(regions: DataFrame, percent: int, hold: int = 200_000) -> DataFrame
     return regions.repartition(F.col("s")).sortWithinPartitions("s").mapInArrow(run, "s long, row long, label long")
 
 
-def close_pairs(bits: list[np.ndarray], n: np.ndarray, label: np.ndarray, percent: int, cell: int = CELL) -> np.ndarray:
-    """All pairs (i, j) with different labels that bitmaps and sizes don't rule out: recursive Voronoi cells with triangle windows.
+def close_pairs(bits: list[np.ndarray], n: np.ndarray, label: np.ndarray, percent: int, cell: int = CELL) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (i, j) with different labels that bitmaps and sizes don't rule out, and by how far: recursive Voronoi cells with triangle windows.
 
     Sets within the radius differ in at most (100 - percent) / (100 + percent) * (n_i + n_j) shingles, and bitmaps in no more bits.
     Bitmaps are compared in tiles of half a million words, however many documents there are."""
     share = (100 - percent) / (100 + percent)
     found: list[np.ndarray] = []
+    spare: list[np.ndarray] = []
 
     def stacked(at: np.ndarray, words: int) -> np.ndarray:
         return np.stack([folded(bits[i], words) for i in at])
@@ -289,6 +290,7 @@ def close_pairs(bits: list[np.ndarray], n: np.ndarray, label: np.ndarray, percen
                 i, j = np.nonzero(ok)
                 if len(i):
                     found.append(np.stack([at[a + i], at[c + j]], 1))
+                    spare.append((share * (x + y) - differ)[i, j])
             a = b
 
     def cut(at: np.ndarray, depth: int) -> None:
@@ -311,12 +313,44 @@ def close_pairs(bits: list[np.ndarray], n: np.ndarray, label: np.ndarray, percen
         if b - a > 1:
             cut(order[a:b], 0)
     if not found:
-        return np.empty((0, 2), np.int64)
-    return np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-
-
-def _candidates(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of nodes of different labels that a region's bitmaps leave."""
+        return np.empty((0, 2), np.int64), np.empty(0)
+    pairs, first = np.unique(np.sort(np.concatenate(found), axis=1), axis=0, return_index=True)
+    return pairs, np.concatenate(spare)[first]
+
+
+def forest(pairs: np.ndarray, spare: np.ndarray, label: np.ndarray, times: int = 2) -> np.ndarray:
+    """Places of pairs that join labels into trees, those with most to spare first; `times` trees without common pairs."""
+    left = np.argsort(-spare, kind="stable")
+    nodes, number = np.unique(label, return_inverse=True)
+    out: list[int] = []
+    for _ in range(times):
+        up = list(range(len(nodes)))
+
+        def root(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        parts, rest = len(np.unique(number[pairs[left]])) if len(left) else 0, []
+        for k, p in enumerate(left):
+            a, b = root(number[pairs[p, 0]]), root(number[pairs[p, 1]])
+            if a == b:
+                rest.append(p)
+                continue
+            up[a] = b
+            out.append(int(p))
+            parts -= 1
+            if parts == 1:
+                rest.extend(left[k + 1 :])
+                break
+        left = np.array(rest, np.int64)
+    return np.array(out, np.int64)
+
+
+def _candidates(members: DataFrame, sets: DataFrame, percent: int, trees: bool) -> DataFrame:
+    """Pairs (a, b) of nodes of different labels that a region's bitmaps leave; trees: of each region only pairs that join its labels to trees, and
+    for regions with more than those a row with their s and no pair."""
     big = members.groupBy("s").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > REGION).select(F.col("s").alias("bs"), F.ceil(F.col("m") / REGION).cast("int").alias("blocks"))
     put = members.join(big, F.col("s") == F.col("bs"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     put = put.withColumn("own", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -324,34 +358,42 @@ def _candidates(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     full = put.join(sets.select("row", "n", "bits"), "row").select("s", "x", "y", "row", "label", "n", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(rows: list[tuple]) -> np.ndarray:
-            bits = [r[5] for r in rows]
-            row, label, n = (np.array([r[j] for r in rows], np.int64) for j in (1, 2, 3))
-            got = close_pairs(bits, n, label, percent)
-            return np.stack([np.minimum(row[got[:, 0]], row[got[:, 1]]), np.maximum(row[got[:, 0]], row[got[:, 1]])], 1)
-
-        key, held, out, size = None, [], [], 0
+        out, more = [], []
+
+        def close(s: int, rows: list[tuple]) -> None:
+            row, label, n = (np.array([r[j] for r in rows], np.int64) for j in range(3))
+            got, spare = close_pairs([r[3] for r in rows], n, label, percent)
+            if trees and len(got) > 1:
+                at = forest(got, spare, label)
+                if len(at) < len(got):
+                    more.append(s)
+                got = got[at]
+            if len(got):
+                out.append(np.stack([np.minimum(row[got[:, 0]], row[got[:, 1]]), np.maximum(row[got[:, 0]], row[got[:, 1]])], 1))
+
+        def flush() -> pa.RecordBatch:
+            # a is the larger row, so that pairs are verified beside the smaller one
+            p = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
+            none = [None] * len(more)
+            cols = [pa.array([*p[:, 1].tolist(), *none], pa.int64()), pa.array([*p[:, 0].tolist(), *none], pa.int64()), pa.array([None] * len(p) + more, pa.int64())]
+            out.clear(), more.clear()
+            return pa.RecordBatch.from_arrays(cols, names=["a", "b", "s"])
+
+        key, held = None, []
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("s", "x", "y", "row", "label", "n")]
-            blobs = batch.column("bits")
-            for s, x, y, row, label, n, b in zip(*cols, blobs):
+            for s, x, y, row, label, n, b in zip(*(batch.column(c).to_pylist() for c in ("s", "x", "y", "row", "label", "n")), batch.column("bits")):
                 if (s, x, y) != key:
-                    if len(held) > 1 and len(got := pairs(held)):
-                        out.append(got)
-                        size += len(got)
+                    if len(held) > 1:
+                        close(key[0], held)
                     key, held = (s, x, y), []
-                held.append((s, row, label, n, None, np.frombuffer(b.as_py(), U)))
-            if size > 10_000:
-                p = np.unique(np.concatenate(out), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
-                out, size = [], 0
-        if len(held) > 1 and len(got := pairs(held)):
-            out.append(got)
-        if out:
-            p = np.unique(np.concatenate(out), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+                held.append((row, label, n, np.frombuffer(b.as_py(), U)))
+            if sum(map(len, out)) + len(more) > 10_000:
+                yield flush()
+        if len(held) > 1:
+            close(key[0], held)
+        yield flush()
 
-    return full.repartition(F.col("s"), F.col("x"), F.col("y")).sortWithinPartitions("s", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    return written(full.repartition(F.col("s"), F.col("x"), F.col("y")).sortWithinPartitions("s", "x", "y").mapInArrow(run, "a long, b long, s long").distinct(), "pairs")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -375,12 +417,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", k: int = 5, percent: in
     nodes = some.select("row", "n", "first").join(small(copies.select("row")), "row", "left_anti")
     nodes = nodes.join(small(labels), nodes["row"] == labels["node"], "left").select("row", F.coalesce("label", "row").alias("label"), "n", "first")
     members = written(_members(_region_rows(nodes), percent), "members")
-    pairs = written(_candidates(members, sets, percent), "pairs")
-    links = _verified(pairs, sets, docs, text, k, percent)
+    some_pairs = _candidates(members, sets, percent, trees=True)
+    links = _verified(some_pairs.select("a", "b"), sets, docs, text, k, percent)
     every = copies.select(F.col("row").alias("a"), F.col("node").alias("b")).union(star_links).union(links)
+    # regions where trees may have left a link out: all other pairs of what is still apart
+    rest = some_pairs.where("s IS NOT NULL").select("s").distinct()
+    if rest.limit(1).count():
+        now = written(connected_components(star_links.union(links)), "labels")
+        left = members.drop("label").join(small(rest), "s", "left_semi").join(small(now), F.col("row") == F.col("node"), "left").select("s", "row", F.coalesce("label", "row").alias("label"))
+        apart = left.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("s")
+        all_pairs = _candidates(left.join(apart, "s", "left_semi"), sets, percent, trees=False)
+        untried = all_pairs.select("a", "b").join(some_pairs.select("a", "b"), ["a", "b"], "left_anti")
+        every = every.union(_verified(untried, sets, docs, text, k, percent))
+        dropped(all_pairs)
     parts = connected_components(every)
     known = sets.select("row", "doc_id", "n").join(parts, F.col("row") == F.col("node"), "left").select("row", "doc_id", "n", "label")
     known = written(known, "components")
     least = known.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
-    dropped(stars, members, pairs)
+    dropped(stars, members, some_pairs, sets, copies)
     return known.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))

@@ -175,7 +175,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str, k:
 
 
 def _region_rows(nodes: DataFrame) -> DataFrame:
-    """s, label, n, row, more: the regions into which each node is copied. In each batch, nodes of one label and size class in one region
+    """s, label, n, pos, row, more: the regions into which each node is copied, pos being the place of s in the node's order. In each batch, nodes of one label and size class in one region
     are a single row, so that a region in which a third of all nodes meet gets a row for each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,82 +187,107 @@ def _region_rows(nodes: DataFrame) -> DataFrame:
             count = np.array([len(x) for x in sets])
             s = np.concatenate(sets).view(np.int64)
             of = np.repeat(np.arange(len(row)), count)
+            pos = (np.arange(len(s)) - np.repeat(np.cumsum(count) - count, count)).astype(np.int64)
             single = np.ones(len(s), bool)
-            out = [[], [], [], [], []]
+            out = [[], [], [], [], [], []]
             many = np.bincount(np.unique(label, return_inverse=True)[1])[np.unique(label, return_inverse=True)[1]] > 1
             grouped = many[of]
             if grouped.any():  # only labels that occur more than once in the batch
-                gs, go = s[grouped], of[grouped]
+                gs, go, gp = s[grouped], of[grouped], pos[grouped]
                 order = np.lexsort((row[go], label[go], gs))
-                gs, go = gs[order], go[order]
+                gs, go, gp = gs[order], go[order], gp[order]
                 begin = np.flatnonzero(np.r_[True, (gs[1:] != gs[:-1]) | (label[go][1:] != label[go][:-1])])
                 for a, b in zip(begin, np.r_[begin[1:], len(gs)]):
                     rest = go[a + 1 : b]
                     out[0].append(gs[a]), out[1].append(label[go[a]]), out[2].append(n[go[a]]), out[3].append(row[go[a]])
-                    out[4].append(np.stack([row[rest], n[rest]], 1).tobytes() if len(rest) else None)
+                    out[4].append(np.stack([row[rest], n[rest], gp[a + 1 : b]], 1).tobytes() if len(rest) else None)
+                    out[5].append(gp[a])
                 single = ~grouped
             o = of[single]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.r_[s[single], np.array(out[0], np.int64)]), pa.array(np.r_[label[o], np.array(out[1], np.int64)]), pa.array(np.r_[n[o], np.array(out[2], np.int64)].astype(np.int32)), pa.array(np.r_[row[o], np.array(out[3], np.int64)]), pa.array([None] * len(o) + out[4], pa.binary())],
-                names=["s", "label", "n", "row", "more"],
+                [pa.array(np.r_[s[single], np.array(out[0], np.int64)]), pa.array(np.r_[label[o], np.array(out[1], np.int64)]), pa.array(np.r_[n[o], np.array(out[2], np.int64)].astype(np.int32)), pa.array(np.r_[row[o], np.array(out[3], np.int64)]), pa.array([None] * len(o) + out[4], pa.binary()), pa.array(np.r_[pos[single], np.array(out[5], np.int64)].astype(np.int32))],
+                names=["s", "label", "n", "row", "more", "pos"],
             )
 
-    return nodes.mapInArrow(run, "s long, label long, n int, row long, more binary")
+    return nodes.mapInArrow(run, "s long, label long, n int, row long, more binary, pos int")
 
 
-def _members(regions: DataFrame, percent: int, hold: int = 200_000) -> DataFrame:
-    """s, row, label: nodes of regions in which nodes of two labels and of sizes near enough meet. Rows come sorted by region; no more
-    than `hold` are kept, a longer region is passed on in parts whether it has two labels or not."""
+def _common(nx, ny, percent: int):
+    """Least number of common shingles with which sets of nx and ny shingles link."""
+    return -(-percent * (nx + ny) // (100 + percent))
 
-    def emit(s, row, label, n, whole: bool):
+
+def _members(regions: DataFrame, percent: int, hold: int = 200_000, pairs_of: int = 64) -> DataFrame:
+    """s, row, label, pos: nodes of regions in which they can meet another one of a different label for the first time.
+
+    If s is the first common shingle of two sets, they have no more in common than what follows it in either order; so sizes and places of s
+    tell most pairs apart. In regions of up to `pairs_of` nodes each pair is looked at, in larger ones sizes alone. Rows come sorted by
+    region; no more than `hold` are kept, a longer region is passed on in parts whatever is in it."""
+
+    def keep_small(s, label, n, pos, begin, k):
+        keep = np.zeros(len(s), bool)
+        i, j = np.triu_indices(k, 1)
+        step = max(1, (1 << 20) // len(i))
+        for a in range(0, len(begin), step):
+            at = begin[a : a + step][:, None]
+            x, y = at + i[None], at + j[None]
+            need = _common(n[x], n[y], percent)
+            ok = (label[x] != label[y]) & (need <= n[x] - pos[x]) & (need <= n[y] - pos[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            keep[x[ok]] = True
+            keep[y[ok]] = True
+        return keep
+
+    def emit(s, row, label, n, pos, whole: bool):
         order = np.lexsort((n, s))
-        s, row, label, n = s[order], row[order], label[order], n[order]
-        # a run: one region, each size near enough to the one before
-        new = np.r_[True, (s[1:] != s[:-1]) | (100 * n[:-1].astype(np.int64) < percent * n[1:].astype(np.int64))]
-        run = np.cumsum(new) - 1
-        at = np.flatnonzero(new)
-        keep = np.minimum.reduceat(label, at)[run] != np.maximum.reduceat(label, at)[run]
-        keep = keep if whole else np.ones(len(s), bool)
-        return pa.RecordBatch.from_arrays([pa.array(s[keep]), pa.array(row[keep]), pa.array(label[keep])], names=["s", "row", "label"])
+        s, row, label, n, pos = s[order], row[order], label[order], n[order].astype(np.int64), pos[order].astype(np.int64)
+        keep = np.ones(len(s), bool)
+        if whole:
+            begin = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+            size = np.diff(np.r_[begin, len(s)])
+            # a run: one region, each size near enough to the one before
+            new = np.r_[True, (s[1:] != s[:-1]) | (100 * n[:-1] < percent * n[1:])]
+            run, at = np.cumsum(new) - 1, np.flatnonzero(new)
+            keep = np.minimum.reduceat(label, at)[run] != np.maximum.reduceat(label, at)[run]
+            few = np.repeat(size <= pairs_of, size)
+            keep &= ~few
+            for k in np.unique(size[(size > 1) & (size <= pairs_of)]):
+                keep |= keep_small(s, label, n, pos, begin[size == k], int(k))
+        return pa.RecordBatch.from_arrays([pa.array(s[keep]), pa.array(row[keep]), pa.array(label[keep]), pa.array(pos[keep].astype(np.int32))], names=["s", "row", "label", "pos"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size, split = 0, None
+        held, split = None, None
         for batch in batches:
-            s, label, n, row = (batch.column(c).to_numpy() for c in ("s", "label", "n", "row"))
+            s, label, n, row, pos = (batch.column(c).to_numpy() for c in ("s", "label", "n", "row", "pos"))
             more = batch.column("more")
             if more.null_count < len(more):
-                extra = [(i, np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 2)) for i, x in enumerate(more) if x.is_valid]
+                extra = [(i, np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 3)) for i, x in enumerate(more) if x.is_valid]
                 of = np.repeat([i for i, _ in extra], [len(x) for _, x in extra])
                 rest = np.concatenate([x for _, x in extra])
-                s, label, n, row = np.r_[s, s[of]], np.r_[label, label[of]], np.r_[n, rest[:, 1].astype(n.dtype)], np.r_[row, rest[:, 0]]
+                s, label, n, row, pos = np.r_[s, s[of]], np.r_[label, label[of]], np.r_[n, rest[:, 1].astype(n.dtype)], np.r_[row, rest[:, 0]], np.r_[pos, rest[:, 2].astype(pos.dtype)]
             if not len(s):
                 continue
-            held.append((s, row, label, n))
-            size += len(s)
+            now = (s, row, label, n, pos)
+            held = now if held is None else tuple(np.r_[a, b] for a, b in zip(held, now))
             last = batch.column("s")[len(batch) - 1].as_py()
-            s, row, label, n = (np.concatenate(x) for x in zip(*held))
-            open_ = s == last
-            if (~open_).any():
-                for part in (~open_ & (s == split), ~open_ & (s != split)):
-                    if part.any():
-                        yield emit(s[part], row[part], label[part], n[part], bool(s[part][0] != split))
-            held = [(s[open_], row[open_], label[open_], n[open_])]
-            size = int(open_.sum())
-            if size > hold:
-                yield emit(*held[0], False)
-                held, size, split = [], 0, last
-        if held:
-            s, row, label, n = held[0]
-            yield emit(s, row, label, n, bool(s[0] != split))
-
-    return regions.repartition(F.col("s")).sortWithinPartitions("s").mapInArrow(run, "s long, row long, label long")
-
-
-def close_pairs(bits: list[np.ndarray], n: np.ndarray, label: np.ndarray, percent: int, cell: int = CELL) -> tuple[np.ndarray, np.ndarray]:
+            open_ = held[0] == last
+            for part in (~open_ & (held[0] == split), ~open_ & (held[0] != split)) if split is not None else (~open_,):
+                if part.any():
+                    yield emit(*(x[part] for x in held), bool(split is None or held[0][part][0] != split))
+            held = tuple(x[open_] for x in held)
+            if len(held[0]) > hold:
+                yield emit(*held, False)
+                held, split = None, last
+        if held is not None and len(held[0]):
+            yield emit(*held, bool(split is None or held[0][0] != split))
+
+    return regions.repartition(F.col("s")).sortWithinPartitions("s").mapInArrow(run, "s long, row long, label long, pos int")
+
+
+def close_pairs(bits: list[np.ndarray], n: np.ndarray, label: np.ndarray, percent: int, pos: np.ndarray | None = None, cell: int = CELL) -> tuple[np.ndarray, np.ndarray]:
     """All pairs (i, j) with different labels that bitmaps and sizes don't rule out, and by how far: recursive Voronoi cells with triangle windows.
 
     Sets within the radius differ in at most (100 - percent) / (100 + percent) * (n_i + n_j) shingles, and bitmaps in no more bits.
+    pos: places of the region's shingle in their orders; pairs for which it can't be the first common one are left to another region.
     Bitmaps are compared in tiles of half a million words, however many documents there are."""
     share = (100 - percent) / (100 + percent)
     found: list[np.ndarray] = []
@@ -287,6 +312,8 @@ def close_pairs(bits: list[np.ndarray], n: np.ndarray, label: np.ndarray, percen
                 differ = np.bitwise_count(left[:, None, :] ^ stacked(at[c:d], words)[None]).sum(axis=2, dtype=np.int64)
                 x, y = size[a:b][:, None], size[c:d][None]
                 ok = (differ <= share * (x + y) + 1e-9) & (own[a:b][:, None] != own[c:d][None]) & (100 * x >= percent * y) & (np.arange(a, b)[:, None] < np.arange(c, d)[None])
+                if pos is not None:
+                    ok &= _common(x, y, percent) <= np.minimum(x - pos[at[a:b]][:, None], y - pos[at[c:d]][None])
                 i, j = np.nonzero(ok)
                 if len(i):
                     found.append(np.stack([at[a + i], at[c + j]], 1))
@@ -354,15 +381,15 @@ def _candidates(members: DataFrame, sets: DataFrame, percent: int, trees: bool)
     big = members.groupBy("s").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > REGION).select(F.col("s").alias("bs"), F.ceil(F.col("m") / REGION).cast("int").alias("blocks"))
     put = members.join(big, F.col("s") == F.col("bs"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     put = put.withColumn("own", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    put = put.select("s", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "row", "label")
-    full = put.join(sets.select("row", "n", "bits"), "row").select("s", "x", "y", "row", "label", "n", "bits")
+    put = put.select("s", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "row", "label", "pos")
+    full = put.join(sets.select("row", "n", "bits"), "row").select("s", "x", "y", "row", "label", "pos", "n", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, more = [], []
 
         def close(s: int, rows: list[tuple]) -> None:
-            row, label, n = (np.array([r[j] for r in rows], np.int64) for j in range(3))
-            got, spare = close_pairs([r[3] for r in rows], n, label, percent)
+            row, label, n, pos = (np.array([r[j] for r in rows], np.int64) for j in range(4))
+            got, spare = close_pairs([r[4] for r in rows], n, label, percent, pos)
             if trees and len(got) > 1:
                 at = forest(got, spare, label)
                 if len(at) < len(got):
@@ -381,12 +408,12 @@ def _candidates(members: DataFrame, sets: DataFrame, percent: int, trees: bool)
 
         key, held = None, []
         for batch in batches:
-            for s, x, y, row, label, n, b in zip(*(batch.column(c).to_pylist() for c in ("s", "x", "y", "row", "label", "n")), batch.column("bits")):
+            for s, x, y, row, label, n, pos, b in zip(*(batch.column(c).to_pylist() for c in ("s", "x", "y", "row", "label", "n", "pos")), batch.column("bits")):
                 if (s, x, y) != key:
                     if len(held) > 1:
                         close(key[0], held)
                     key, held = (s, x, y), []
-                held.append((row, label, n, np.frombuffer(b.as_py(), U)))
+                held.append((row, label, n, pos, np.frombuffer(b.as_py(), U)))
             if sum(map(len, out)) + len(more) > 10_000:
                 yield flush()
         if len(held) > 1:
@@ -424,7 +451,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", k: int = 5, percent: in
     rest = some_pairs.where("s IS NOT NULL").select("s").distinct()
     if rest.limit(1).count():
         now = written(connected_components(star_links.union(links)), "labels")
-        left = members.drop("label").join(small(rest), "s", "left_semi").join(small(now), F.col("row") == F.col("node"), "left").select("s", "row", F.coalesce("label", "row").alias("label"))
+        left = members.drop("label").join(small(rest), "s", "left_semi").join(small(now), F.col("row") == F.col("node"), "left").select("s", "row", F.coalesce("label", "row").alias("label"), "pos")
         apart = left.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("s")
         all_pairs = _candidates(left.join(apart, "s", "left_semi"), sets, percent, trees=False)
         untried = all_pairs.select("a", "b").join(some_pairs.select("a", "b"), ["a", "b"], "left_anti")

@@ -80,8 +80,8 @@ def _cell(s: np.ndarray) -> np.ndarray:
 
 
 def parity_bits(s: np.ndarray) -> np.ndarray:
-    """Parity of how many of the set's hashes fall on each bit, as 64-bit words; about four bits for each shingle, a power of two."""
-    m = max(64, 1 << int(4 * len(s) - 1).bit_length())
+    """Parity of how many of the set's hashes fall on each bit, as 64-bit words; two to four bits for each shingle, a power of two."""
+    m = max(64, 1 << int(2 * len(s) - 1).bit_length())
     odd = np.bincount((s & U(m - 1)).astype(np.int64), minlength=m) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 

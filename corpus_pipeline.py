@@ -29,7 +29,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     found = jaccard.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     keep = found.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__rows"))
     keep = written(keep, "keep")
-    out = docs.join(keep, docs["doc_id"].eqNullSafe(keep["__id"]), "left_semi").select(*COLUMNS)
+    out = docs.join(jaccard.small(keep), docs["doc_id"].eqNullSafe(keep["__id"]), "left_semi").select(*COLUMNS)
     return out.dropDuplicates(["doc_id"]) if keep.where("__rows > 1").limit(1).count() else out
 
 

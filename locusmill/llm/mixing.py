@@ -70,13 +70,16 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of docs as often as mix() takes it, with its columns unchanged. doc_id must be unique among rows
-    that differ; rows repeated exactly are taken as often as their ids together."""
+def mixed(docs: DataFrame, most: int = 1_000_000, **options) -> DataFrame:
+    """The mix itself: each row of docs as often as mix() takes it, with its columns unchanged.
+
+    Rows that share a doc_id are one document: the first of them that Spark comes upon is taken as often as all together. How often is
+    broadcast if the counted rows are at most `most` (about 24 MB), so that texts stay where they are; else it is joined."""
     key = options.get("doc_id", "doc_id")
-    copies = mix(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
-    one = docs.dropDuplicates([key]) if options.get("unique") else docs
-    joined = one.join(copies, one[key].eqNullSafe(copies["__id"]))
+    taken = mix(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
+    taken = written(taken, "mix-copies")
+    one = docs.dropDuplicates([key]) if taken.where("__rows > 1").limit(1).count() else docs
+    joined = one.join(F.broadcast(taken) if taken.count() <= most else taken, one[key].eqNullSafe(taken["__id"]))
     return joined.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
 
 

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusmill.llm._tables import written
-from locusmill.llm._words import U, mix, pieces, runs_of, words
+from locusmill.llm._tables import dropped, written
+from locusmill.llm._words import U, lean, mix, pieces, runs_of, words
 from locusmill.llm.jaccard import small
 
 _ODD = 0x9E3779B97F4A7C15
@@ -65,8 +65,8 @@ def selected(hashes: np.ndarray, rows: np.ndarray, least: int, k: int):
     return pos, lo, hi, owner[lo], grams[pos]
 
 
-def _suffixes(docs: DataFrame, text: str, least: int, k: int) -> DataFrame:
-    """doc_id, th, n and the kept suffixes of each row as arrays, with a number for each row: its doc_id where ids are unique."""
+def _suffixes(docs: DataFrame, text: str, least: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """A written table of doc_id, th, n and the kept suffixes of each row as arrays; and it with a number for each row: its doc_id where ids are unique."""
     src = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,9 +81,10 @@ def _suffixes(docs: DataFrame, text: str, least: int, k: int) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(pa.array(off), pa.array(v)) for v in (key.view(np.int64), whole.view(np.int64), (lo - base).astype(np.int32), (hi - base).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(span(rows[:-1], rows[1:]).view(np.int64)), pa.array(np.diff(rows)), *lists], names=["doc_id", "th", "n", "key", "whole", "lo", "hi"])
 
-    found = written(src.mapInArrow(run, "doc_id long, th long, n long, key array<long>, whole array<long>, lo array<int>, hi array<int>").withColumn("__row", F.monotonically_increasing_id()), "suffixes")
+    found = written(src.mapInArrow(lean(run), "doc_id long, th long, n long, key array<long>, whole array<long>, lo array<int>, hi array<int>").withColumn("__row", F.monotonically_increasing_id()), "suffixes")
     rows, ids, distinct = found.agg(F.count(F.lit(1)), F.count("doc_id"), F.countDistinct("doc_id")).first()
-    return found.withColumn("row", F.col("doc_id") if rows == distinct else F.col("__row")).drop("__row")
+    one = found if rows == distinct else found.dropDuplicates(["doc_id", "th"])
+    return found, one.withColumn("row", F.col("doc_id") if rows == distinct else F.col("__row")).drop("__row")
 
 
 def _neighbours(order: list[str], pick):
@@ -153,16 +154,17 @@ def repeated_passages(docs: DataFrame, text: str = "text", least: int = 50, k: i
     """doc_id, th, start, stop, n_words, kept: the longest stretches of words made up of windows of `least` words that occur in another document too.
 
     Words are runs of characters other than space and 0x09-0x0D, compared as they are; start and stop count words from 0.
-    A window is reported with kept = true at its first place in its first document (smallest doc_id), and with kept = false wherever another document has it; stretches of
+    A window is reported with kept = true in its first document (smallest doc_id), at least at its first place there, and with kept = false
+    wherever another document has it; stretches of
     either kind that touch or overlap are one row. Repeats inside one document alone don't count. th: digest of the document's words.
-    Texts of fewer than `least` words, null and empty ones have no passages. A repeated row is a document like any other: where
-    doc_ids are null or not unique, the table's order takes their place. Needs k <= least; every window of `least` words is covered.
+    Texts of fewer than `least` words, null and empty ones have no passages. Rows with the same doc_id and the same words are one
+    document; where doc_ids are null or not unique, the table's order takes their place. Needs k <= least; every window of `least` words is covered.
     Memory: neighbours are compared as a stream that remembers three rows, so a passage in very many documents fits.
     """
-    found = _suffixes(docs, text, least, k)
+    suffixes, found = _suffixes(docs, text, least, k)
     flat = found.where(F.size("key") > 0).select("row", F.explode(F.arrays_zip("key", "whole", "lo", "hi")).alias("z")).select("z.key", "z.whole", "row", "z.lo", "z.hi")
     order = ["key", "whole", "row", "lo", "hi"]
-    stretches = written(_sorted(flat, order).mapInArrow(_neighbours(order, _pick_stretches), "row long, lo int, hi int, kind int"), "stretches")
+    stretches = written(_sorted(flat, order).mapInArrow(lean(_neighbours(order, _pick_stretches)), "row long, lo int, hi int, kind int"), "stretches")
     doubtful = stretches.where("kind = 2").groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("z"))
     wanted = written(doubtful.join(found.select("row", "doc_id", "th"), "row").select("row", "doc_id", "th", F.col("z.lo").alias("lo"), F.col("z.hi").alias("hi")), "wanted")
     src = docs.select(docs["doc_id"].cast("long").alias("__id"), docs[text].cast("string").alias("text"))
@@ -191,7 +193,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", least: int = 50, k: i
                     yield pa.RecordBatch.from_arrays([pa.array(key[new]), pa.array(part.column("row").to_numpy()[o[new]]), pa.array(lo[new]), pa.array(more, pa.binary())], names=["key", "row", "lo", "more"])
 
     order = ["key", "row", "lo"]
-    one = _sorted(texts.mapInArrow(windows, "key long, row long, lo int, more binary"), order).mapInArrow(_neighbours([*order, "more"], _pick_windows), "row long, lo int, hi int, kind int")
+    one = _sorted(texts.mapInArrow(lean(windows), "key long, row long, lo int, more binary"), order).mapInArrow(lean(_neighbours([*order, "more"], _pick_windows)), "row long, lo int, hi int, kind int")
     spans = stretches.where("kind < 2").union(one).groupBy("row").agg(F.collect_list(F.struct("kind", "lo", "hi")).alias("z"))
     rows = spans.join(found.select("row", "doc_id", "th"), "row").select("doc_id", "th", F.col("z.kind").alias("kind"), F.col("z.lo").alias("lo"), F.col("z.hi").alias("hi"))
 
@@ -216,7 +218,9 @@ def repeated_passages(docs: DataFrame, text: str = "text", least: int = 50, k: i
             start, stop = pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("th").take(at), start, stop, pa.array(np.array(out[3], np.int64) - np.array(out[2], np.int64)), pa.array(out[4], pa.bool_())], names=["doc_id", "th", "start", "stop", "n_words", "kept"])
 
-    return rows.mapInArrow(joined, "doc_id long, th long, start long, stop long, n_words long, kept boolean")
+    out = written(rows.mapInArrow(lean(joined), "doc_id long, th long, start long, stop long, n_words long, kept boolean"), "passages")
+    dropped(suffixes, stretches, wanted)
+    return out
 
 
 def without_repeats(docs: DataFrame, text: str = "text", least: int = 50, k: int = 10) -> DataFrame:
@@ -257,4 +261,4 @@ def without_repeats(docs: DataFrame, text: str = "text", least: int = 50, k: int
                 column = pa.array(new, column.type)
             yield pa.RecordBatch.from_arrays([column if c == at else batch.column(c) for c in range(len(names))], names=names)
 
-    return plan.mapInArrow(run, docs.schema)
+    return plan.mapInArrow(lean(run), docs.schema)

@@ -6,6 +6,9 @@ UTF-8 never has those bytes inside a longer character.
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,6 +18,35 @@ _ODD = U(0x9E3779B97F4A7C15)
 _GROUP = 1 << 20  # bytes hashed at a time
 
 
+_settled: list[bool] = []
+
+
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library: memory is given back as it sees fit
+        return None
+
+
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work, in a Python worker that gives memory back: workers outlive their tasks, and an executor's limit holds for what they keep, too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        libc = _libc()
+        if libc and not _settled:
+            libc.mallopt(-3, 1 << 20)  # arrays of 1 MB and more get pages of their own
+            libc.mallopt(-1, 1 << 20)
+            pa.set_memory_pool(pa.system_memory_pool())
+            _settled.append(True)
+        try:
+            yield from work(batches)
+        finally:
+            if libc:
+                libc.malloc_trim(0)
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64 bits that spreads every input bit (the finaliser of MurmurHash3)."""
     x = x ^ (x >> U(33))

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from locusmill.llm._words import lean, pieces
+
 #: The pattern by which byte-level BPE splits text, and the bytes that stand for themselves.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -183,8 +185,6 @@ def _spec(df: DataFrame, path: str):
 
 
 def _parts(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    from locusmill.llm._words import pieces
-
     for part in pieces(batch, column, 1 << 22):
         yield part, [t or "" for t in part.column(column).to_pylist()]
 
@@ -220,7 +220,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", keep: list[str
                     cols.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(got, pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, *(x for x, _ in ENCODED), *(["ids"] if extra else [])])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean(run), schema)
 
 
 def token_lengths(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -236,7 +236,7 @@ def token_lengths(docs: DataFrame, path: str, text: str = "text", keep: list[str
             for part, texts in _parts(batch, "__text"):
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(bpe.lengths(texts), pa.int64())], names=[*keep, "n_tokens"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean(run), schema)
 
 
 def length_histogram(lengths: DataFrame, by: list[str] | None = None, block: int = 4096) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusmill.llm._tables import dropped, written
-from locusmill.llm._words import U, mix, pieces, shingle_sets
+from locusmill.llm._words import U, lean, mix, pieces, shingle_sets
 from locusmill.llm.components import connected_components
 
 SKETCH_BITS, SKETCH_CHUNK = 20, 1 << 14
@@ -68,9 +68,9 @@ def sketch_levels(docs: DataFrame, text: str, k: int) -> np.ndarray:
             level = np.floor(np.log2(np.maximum(v, 1))).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["chunk", "counts"])
 
-    parts = docs.select(docs[text].cast("string").alias("text")).mapInArrow(count, "chunk int, counts binary").repartition(F.col("chunk"))
+    parts = docs.select(docs[text].cast("string").alias("text")).mapInArrow(lean(count), "chunk int, counts binary").repartition(F.col("chunk"))
     out = np.zeros(1 << SKETCH_BITS, np.uint8)
-    for r in parts.mapInArrow(add, "chunk int, counts binary").collect():
+    for r in parts.mapInArrow(lean(add), "chunk int, counts binary").collect():
         out[r.chunk * SKETCH_CHUNK : (r.chunk + 1) * SKETCH_CHUNK] = np.frombuffer(r.counts, np.uint8)
     return out
 
@@ -120,7 +120,7 @@ def _features(docs: DataFrame, text: str, k: int, percent: int, levels: np.ndarr
                     names=["doc_id", "n", "h1", "h2", "mins", "first", "bits"],
                 )
 
-    rows = src.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, mins array<long>, first binary, bits binary")
+    rows = src.mapInArrow(lean(run), "doc_id long, n long, h1 long, h2 long, mins array<long>, first binary, bits binary")
     return written(rows.withColumn("row", F.monotonically_increasing_id()), "sets")
 
 
@@ -168,8 +168,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str, k:
                         b.append(g)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    dealt = found.mapInArrow(deal, "g long, salt int, side int, row long, s binary").repartition(F.col("g"), F.col("salt")).sortWithinPartitions("g", "salt", "side")
-    out = written(dealt.mapInArrow(compare, "a long, b long").distinct(), "verified")
+    dealt = found.mapInArrow(lean(deal), "g long, salt int, side int, row long, s binary").repartition(F.col("g"), F.col("salt")).sortWithinPartitions("g", "salt", "side")
+    out = written(dealt.mapInArrow(lean(compare), "a long, b long").distinct(), "verified")
     dropped(wanted)
     return out
 
@@ -209,7 +209,7 @@ def _region_rows(nodes: DataFrame) -> DataFrame:
                 names=["s", "label", "n", "row", "more", "pos"],
             )
 
-    return nodes.mapInArrow(run, "s long, label long, n int, row long, more binary, pos int")
+    return nodes.mapInArrow(lean(run), "s long, label long, n int, row long, more binary, pos int")
 
 
 def _common(nx, ny, percent: int):
@@ -280,7 +280,7 @@ def _members(regions: DataFrame, percent: int, hold: int = 200_000, pairs_of: in
         if held is not None and len(held[0]):
             yield emit(*held, bool(split is None or held[0][0] != split))
 
-    return regions.repartition(F.col("s")).sortWithinPartitions("s").mapInArrow(run, "s long, row long, label long, pos int")
+    return regions.repartition(F.col("s")).sortWithinPartitions("s").mapInArrow(lean(run), "s long, row long, label long, pos int")
 
 
 def close_pairs(bits: list[np.ndarray], n: np.ndarray, label: np.ndarray, percent: int, pos: np.ndarray | None = None, cell: int = CELL) -> tuple[np.ndarray, np.ndarray]:
@@ -420,7 +420,7 @@ def _candidates(members: DataFrame, sets: DataFrame, percent: int, trees: bool)
             close(key[0], held)
         yield flush()
 
-    return written(full.repartition(F.col("s"), F.col("x"), F.col("y")).sortWithinPartitions("s", "x", "y").mapInArrow(run, "a long, b long, s long").distinct(), "pairs")
+    return written(full.repartition(F.col("s"), F.col("x"), F.col("y")).sortWithinPartitions("s", "x", "y").mapInArrow(lean(run), "a long, b long, s long").distinct(), "pairs")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:

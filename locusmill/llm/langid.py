@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from locusmill.llm._words import lean, pieces
+
 BUCKETS = 1 << 14
 CHUNK = 1 << 10
 ORDERS = (1, 2, 3)
@@ -83,8 +85,6 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", smooth: float =
     src = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from locusmill.llm._words import pieces
-
         sums: dict[str, np.ndarray] = {}
         seen: dict[str, int] = {}
         for batch in batches:
@@ -115,7 +115,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", smooth: float =
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["lang", "chunk", "counts"])
 
     kind = "lang string, chunk int, counts binary"
-    rows = src.mapInArrow(count, kind).repartition(F.col("lang"), F.col("chunk")).mapInArrow(add, kind).collect()
+    rows = src.mapInArrow(lean(count), kind).repartition(F.col("lang"), F.col("chunk")).mapInArrow(lean(add), kind).collect()
     langs = sorted({r.lang for r in rows})
     at = {x: k for k, x in enumerate(langs)}
     total, seen = np.zeros((len(langs), BUCKETS)), np.zeros(len(langs))
@@ -168,12 +168,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     schema = src.select(*keep, F.lit("").cast("string").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from locusmill.llm._words import pieces
-
         m = shared.value
         for batch in batches:
             for part in pieces(batch, "__text", 1 << 22):
                 names, scores = score_batch(m, [t or "" for t in part.column("__text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean(run), schema)

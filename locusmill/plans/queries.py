@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusmill.functions import bits as B
+from locusmill.functions import cigar as G
 from locusmill.operators import benchmark as M
 from locusmill.operators import coverage as C
+from locusmill.operators import hmm as H
 from locusmill.operators import intervals as I
+from locusmill.operators import lift as L
+from locusmill.operators import mixture as X
 from locusmill.plans import derived as D
+from locusmill.session import ship
+from locusmill.streaming import events as E
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -565,3 +571,87 @@ TABLE_SQL = "tab AS (SELECT c AS cov, (c * 7 % 11 / 10.0)::FLOAT AS p0, (c * 5 %
 def g7_component_blocks(spark, sf_dir):
     t = spark.range(30).select(F.col("id").alias("cov"), *[(F.col("id") * k % 11 / 10.0).alias(f"p{j}") for j, k in enumerate((7, 5, 3, 1))])
     return C.component_blocks(covered(spark, sf_dir).select("contig", "start", "end", "cov"), t, ["p0", "p1", "p2", "p3"])
+
+
+# alignments as CIGARs
+
+CIG = "cig AS (SELECT DISTINCT ((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey * 4 + l_suppkey % 4) * 64 + l_quantity::BIGINT AS aln, l_linenumber || 'S' || l_quantity::BIGINT || '=1X' || (l_linenumber + 2) || 'I' || (l_suppkey % 7 + 1) || 'D' || (l_partkey % 40 + 1) || '=' || (l_linenumber + 1) || 'H' AS c, l_linenumber AS ln, l_quantity::BIGINT AS q, l_suppkey % 7 + 1 AS d, l_partkey % 40 + 1 AS e FROM lineitem)"
+
+
+def cigars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = D.table(spark, sf_dir, "lineitem")
+    q, ln = F.col("l_quantity").cast("long"), F.col("l_linenumber")
+    c = F.concat(ln.cast("string"), F.lit("S"), q.cast("string"), F.lit("=1X"), (ln + 2).cast("string"), F.lit("I"), (F.col("l_suppkey") % 7 + 1).cast("string"), F.lit("D"), (F.col("l_partkey") % 40 + 1).cast("string"), F.lit("="), (ln + 1).cast("string"), F.lit("H"))
+    return li.select((((F.col("l_orderkey") * 8 + ln) * 1000000 + F.col("l_partkey") * 4 + F.col("l_suppkey") % 4) * 64 + q).alias("aln"), c.alias("c")).distinct().withColumn("cigar", G.parse(F.col("c")))
+
+
+@query("SELECT aln, q + 1 + ln + 2 + e AS contig_bases, q + 1 + d + e AS ref_bases, q + e AS matches, ln::BIGINT AS left_clip, (ln + 1)::BIGINT AS right_clip, 7 AS ops FROM cig", CIG)
+def c1_c3_cigar_lengths(spark, sf_dir):
+    x = F.col("cigar")
+    return cigars(spark, sf_dir).select("aln", G.query_bases(x).alias("contig_bases"), G.total(x, G.REF_OPS).alias("ref_bases"), G.matches(x).alias("matches"), G.left_clip(x).alias("left_clip"), G.right_clip(x).alias("right_clip"), F.size(x).alias("ops"))
+
+
+@query("SELECT aln, ln || 'S' || q || '=1X' || (ln + 2) || 'D' || d || 'I' || e || '=' || (ln + 1) || 'H' AS swapped FROM cig", CIG)
+def c5_swap_indels(spark, sf_dir):
+    return cigars(spark, sf_dir).select("aln", G.render(G.swap_indels(F.col("cigar"))).alias("swapped"))
+
+
+PIECES = "lin AS (SELECT *, 1000 AS rs, 5000 AS qs FROM cig)"
+
+
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = cigars(spark, sf_dir)
+    return x.select("aln", F.lit("ctg").alias("contig"), F.lit(5000).cast("long").alias("contig_start"), (5000 + G.query_bases(F.col("cigar"))).alias("contig_end"), F.when(F.col("aln") % 2 == 0, "+").otherwise("-").alias("strand"), F.lit("ref").alias("chrom"), F.lit(1000).cast("long").alias("chrom_start"), (1000 + G.total(F.col("cigar"), G.REF_OPS)).alias("chrom_end"), F.lit(True).alias("is_primary"), "cigar")
+
+
+@query(
+    "SELECT aln, 'D' AS op, d AS len, rs + q + 1 AS ref_start, rs + q + 1 + d AS ref_end, CASE WHEN aln % 2 = 0 THEN qs + q + 1 + ln + 2 ELSE qs + q + 1 + ln + 2 + e - (q + 1 + ln + 2) END AS ctg_start FROM lin WHERE d > 4",
+    f"{CIG}, {PIECES}",
+)
+def c6_c10_long_deletions(spark, sf_dir):
+    steps = G.walk(placed(spark, sf_dir), ["aln"])
+    return G.long_indels(steps, "D", 4).select("aln", "op", "len", "ref_start", "ref_end", "ctg_start")
+
+
+@query("SELECT aln, least(q, 10)::BIGINT AS n_from FROM lin WHERE aln % 2 = 0 AND q >= 1", f"{CIG}, {PIECES}")
+def x1_projection(spark, sf_dir):
+    """Carries the first ten bases of each forward alignment over to the reference; reports how many could be."""
+    a = placed(spark, sf_dir).where("strand = '+'").withColumn("contig", F.concat(F.lit("c"), F.col("aln").cast("string")))
+    b = a.select("contig", F.col("contig_start").alias("start"), (F.col("contig_start") + F.least(F.lit(10), F.expr("element_at(filter(cigar, x -> x.op = '='), 1).len"))).alias("end"))
+    return L.project(b, a).select("aln", (F.col("from_end") - F.col("from_start")).alias("n_from"))
+
+
+# models over the derived coverage
+
+
+@query()
+def h10_hmm_labels(spark, sf_dir):
+    """contig, start, end, label: a Gaussian model trained for three rounds on 300-base windows, decoded and turned into blocks."""
+    ship(spark)
+    w = C.tumbling(covered(spark, sf_dir), D.contigs(spark, sf_dir), 300, 7000)
+    data = H.chunks(w).cache()
+    base = max(1, int(C.modes(C.histogram(covered(spark, sf_dir)), [], 1).first()["mode"]))
+    m = H.train(data, H.create("gaussian", [float(base)], 2, max_high_mapq=10.0, min_high_mapq=-1.0), iterations=3)
+    return M.final_blocks(H.decode(data, m).select("contig", "start", "end", "pred"))
+
+
+@query()
+def g6_probability_table(spark, sf_dir):
+    return X.probability_table(C.histogram(covered(spark, sf_dir)))
+
+
+# event time (an extra)
+
+
+@query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS total FROM events GROUP BY ALL")
+def events_tumbling(spark, sf_dir):
+    out = E.tumbling(D.table(spark, sf_dir, "events"))
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("day"), "event_type", "n", "total")
+
+
+@query("SELECT user_id, session, count(*) AS n FROM (SELECT user_id, sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events)) GROUP BY ALL")
+def events_sessions(spark, sf_dir):
+    from pyspark.sql import Window
+
+    out = E.sessions(D.table(spark, sf_dir, "events"))
+    return out.select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("session_start")).cast("long").alias("session"), "n")

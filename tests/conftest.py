@@ -21,4 +21,4 @@ def spark():
 
 
 def rows(df, *cols):
-    return sorted(tuple(r) for r in (df.select(*cols) if cols else df).collect())
+    return sorted((tuple(r) for r in (df.select(*cols) if cols else df).collect()), key=lambda r: [(x is not None, x) for x in r])

@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from locusmill.functions import bits as B
 from locusmill.functions import cigar as G
+from locusmill.functions import scalar as T
 from locusmill.operators import benchmark as M
 from locusmill.operators import coverage as C
 from locusmill.operators import hmm as H
 from locusmill.operators import intervals as I
 from locusmill.operators import lift as L
+from locusmill.operators import misassembly as Z
 from locusmill.operators import mixture as X
+from locusmill.operators import reads as R
 from locusmill.plans import derived as D
 from locusmill.session import ship
 from locusmill.streaming import events as E
@@ -655,3 +658,104 @@ def events_sessions(spark, sf_dir):
 
     out = E.sessions(D.table(spark, sf_dir, "events"))
     return out.select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("session_start")).cast("long").alias("session"), "n")
+
+
+# more histograms, windows and scalar functions
+
+
+@query(
+    "SELECT annot::INTEGER AS annot, least(cov, 249)::INTEGER AS cov, sum(n)::BIGINT AS bases FROM (SELECT (sum(cov * (least(e, win * 400 + 400) - greatest(s, win * 400))) * 400 // sum(least(e, win * 400 + 400) - greatest(s, win * 400)))::BIGINT AS cov, sum(least(e, win * 400 + 400) - greatest(s, win * 400))::BIGINT AS n, bit_or(annot_bits) AS annot_bits, contig, win FROM (SELECT seg.*, unnest(range(s // 400, (e - 1) // 400 + 1)) AS win FROM seg) GROUP BY contig, win), unnest(CASE WHEN annot_bits = 0 THEN [0] ELSE list_filter([1, 2, 3, 4, 5, 6], lambda k: (annot_bits >> (k - 1)) & 1 = 1) END) u(annot) GROUP BY 1, 2",
+    COVER,
+)
+def a3_start_only_histogram(spark, sf_dir):
+    return C.start_only_histogram(covered(spark, sf_dir), D.contigs(spark, sf_dir), 400, n_annotations=D.ANNOTATIONS).select("annot", F.col("cov").cast("int").alias("cov"), "bases")
+
+
+@query("SELECT contig, sum(e - s)::BIGINT AS bases, greatest(1, sum(e - s)::BIGINT // 5000) AS parts FROM m GROUP BY contig", "both_ AS (SELECT contig, s, e, 1 AS l, 0 AS r FROM ord UNION ALL SELECT contig, s, e, 0, 1 FROM ann), " + SUB)
+def r3_effective_windows(spark, sf_dir):
+    parts = C.effective_windows(blocks(spark, sf_dir).select("contig", "start", "end"), D.annotations(spark, sf_dir), 5000)
+    return parts.groupBy("contig").agg(F.sum(F.col("end") - F.col("start")).alias("bases"), F.countDistinct("part").alias("parts"))
+
+
+@query("SELECT ref, query, count(*) AS parts, sum(bases)::BIGINT AS bases, count(DISTINCT contig || ':' || run) AS runs FROM x_s GROUP BY ref, query", f"{LABELED}, {BINS_SQL}, " + RUNS.format(n="x", inside="annot_bits & 2 <> 0", ref="truth", query="pred"))
+def r5_r6_label_runs(spark, sf_dir):
+    r = M.runs(labeled(spark, sf_dir), "truth", "pred", M.stratum_of(2))
+    return r.groupBy("ref", "query").agg(F.count(F.lit(1)).alias("parts"), F.sum("bases").alias("bases"), F.countDistinct("contig", "run").alias("runs"))
+
+
+@query("SELECT contig, min(s) AS start, max(pos) AS \"end\", cov FROM (SELECT *, sum(CASE WHEN p = cov THEN 0 ELSE 1 END) OVER (PARTITION BY contig ORDER BY s ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT contig, s, e AS pos, cov, lag(cov) OVER (PARTITION BY contig ORDER BY s) AS p FROM (SELECT contig, s, s + 1 AS e, n AS cov FROM z WHERE s < 3000))) GROUP BY contig, k, cov", sweep_sql("z", "prim", {}))
+def s26_depth_to_segments(spark, sf_dir):
+    d = I.depth(D.primary(spark, sf_dir)).where("start < 3000").select("contig", (F.col("start") + 1).alias("pos"), F.col("n").alias("depth"))
+    return C.depth_to_segments(d).select("contig", "start", "end", "cov")
+
+
+@query("SELECT annot_bits, bit_count(annot_bits)::INTEGER AS n, CASE WHEN annot_bits = 0 THEN -1 ELSE log2(annot_bits & -annot_bits)::INTEGER END AS low, count(*) AS segments FROM seg GROUP BY ALL", COVER)
+def f3_bits(spark, sf_dir):
+    return covered(spark, sf_dir).groupBy("annot_bits").agg(F.count(F.lit(1)).alias("segments")).select("annot_bits", F.bit_count("annot_bits").alias("n"), B.lowest(F.col("annot_bits")).alias("low"), "segments")
+
+
+@query("SELECT p_partkey, split(p_type, ' ')[1] AS first, replace(p_type, ' ', '') AS tight, len(split(p_type, ' '))::INTEGER AS n, reverse(translate(upper(p_name), 'ACGT', 'TGCA')) AS complement, printf('%.2f', p_retailprice) AS price FROM part")
+def f1_f2_f13_text(spark, sf_dir):
+    p = D.table(spark, sf_dir, "part")
+    return p.select("p_partkey", F.split("p_type", " ")[0].alias("first"), F.replace("p_type", F.lit(" "), F.lit("")).alias("tight"), F.size(F.split("p_type", " ")).alias("n"), T.reverse_complement(F.upper("p_name")).alias("complement"), F.format_string("%.2f", "p_retailprice").alias("price"))
+
+
+@query("SELECT name, count(*) AS n FROM (SELECT ['Err', 'Dup', 'Hap', 'Col', 'Unk'][CASE WHEN label < 0 THEN 4 ELSE label END + 1] AS name FROM pred) GROUP BY name")
+def p13_label_names(spark, sf_dir):
+    t = D.tiles(spark, sf_dir, "pred").select("contig", "start", "end", F.when(F.col("label") < 0, 4).otherwise(F.col("label")).alias("label"))
+    named = M.display_rows(t).select("name", F.coalesce(M.label_number(F.col("name")), F.lit(4)).alias("number"))
+    return named.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    'SELECT f.contig, greatest(f.s, o.s) AS start, least(f.e, o.e) AS "end", label FROM fin f JOIN um o ON f.contig = o.contig AND f.s < o.e AND o.s < f.e WHERE label <> 2 '
+    'UNION ALL SELECT contig, s, e, -2 FROM m',
+    FINAL + ", " + merge_sql("um0", "ord", "s > reach") + ", um AS (SELECT contig, s, e FROM um0), both_ AS (SELECT contig, s, e, 1 AS l, 0 AS r FROM fin UNION ALL SELECT contig, s, e, 0, 1 FROM um), " + SUB,
+)
+def l3_display_without_haploid(spark, sf_dir):
+    b = M.final_blocks(D.tiles(spark, sf_dir, "pred"), "label", {0: 600, 1: 600, 3: 600})
+    return M.display_without_haploid(b, I.merge(blocks(spark, sf_dir)).select("contig", "start", "end"))
+
+
+@query(
+    "SELECT contig, s AS start, e AS \"end\", 'low' AS family FROM f1 UNION ALL SELECT contig, s, e, 'high' FROM f2",
+    "n1 AS (SELECT contig, s, e FROM ann WHERE annot <= 2), n2 AS (SELECT contig, s, e FROM ann WHERE annot IN (5, 6)), " + merge_sql("f1", "n1", "s > reach") + ", " + merge_sql("f2", "n2", "s > reach"),
+)
+def l7_families(spark, sf_dir):
+    a = D.annotations(spark, sf_dir).withColumn("name", F.concat(F.lit("annot_"), F.col("annot").cast("string")))
+    return M.family_intervals(a, {"low": "annot_[12]$", "high": "annot_[56]$"})
+
+
+@query("SELECT aln, (q + e)::DOUBLE / (q + 1 + d + e + 1) AS rate FROM cig", CIG)
+def c2_perfect_rate(spark, sf_dir):
+    return cigars(spark, sf_dir).select("aln", G.perfect_rate(F.col("cigar")).alias("rate"))
+
+
+@query("SELECT aln, q + e AS matches, d AS deleted, (ln + 2)::BIGINT AS inserted, 1::BIGINT AS mismatched FROM cig", CIG)
+def c7_cs_strings(spark, sf_dir):
+    x = F.col("cigar")
+    length = lambda k: F.element_at(x, k)["len"]
+    cs = F.concat(F.lit(":"), length(2).cast("string"), F.lit("*ac+"), F.repeat(F.lit("g"), length(4).cast("int")), F.lit("-"), F.repeat(F.lit("t"), length(5).cast("int")), F.lit(":"), length(6).cast("string"))
+    ops = cigars(spark, sf_dir).withColumn("o", G.parse_cs(cs))
+    return ops.select("aln", G.total(F.col("o"), "=").alias("matches"), G.total(F.col("o"), "D").alias("deleted"), G.total(F.col("o"), "I").alias("inserted"), G.total(F.col("o"), "X").alias("mismatched"))
+
+
+@query("SELECT annot, count(*) AS n, sum(to_end - to_start)::BIGINT AS bases FROM (SELECT a.annot, a.s, a.contig, min(greatest(a.s, p.s)) AS to_start, max(least(a.e, p.e)) AS to_end FROM ann a JOIN (SELECT contig, s, e FROM m) p ON a.contig = p.contig AND a.s < p.e AND p.s < a.e GROUP BY a.annot, a.contig, a.s, a.e, p.s) GROUP BY annot", merge_sql("m", "ord", "s > reach"))
+def x4_project_annotations(spark, sf_dir):
+    """Annotations carried over identity alignments (the joined order blocks): each alignment takes what it covers."""
+    m = I.merge(blocks(spark, sf_dir))
+    a = m.select(F.xxhash64("contig", "start").alias("aln"), "contig", F.col("start").alias("contig_start"), F.col("end").alias("contig_end"), F.lit("+").alias("strand"), F.col("contig").alias("chrom"), F.col("start").alias("chrom_start"), F.col("end").alias("chrom_end"), F.lit(True).alias("is_primary"), F.array(F.struct(F.lit("=").alias("op"), (F.col("end") - F.col("start")).alias("len"))).alias("cigar"))
+    return L.project(D.annotations(spark, sf_dir), a).groupBy("annot").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("to_end") - F.col("to_start")).alias("bases"))
+
+
+@query("SELECT read, contig, start, greatest(mapq, 20) AS mapq FROM (SELECT read, contig, s AS start, e, mapq FROM aln WHERE NOT secondary AND e - s >= 150 AND contig NOT IN ('NATION_3', 'NATION_4'))")
+def q8_corrected_alignments(spark, sf_dir):
+    a = D.alignments(spark, sf_dir).withColumn("flag", F.when(F.col("secondary"), 256).otherwise(0)).withColumn("de", F.lit(0.0))
+    out = R.corrected(a.where(~F.col("contig").isin("NATION_3", "NATION_4")), min_length=150, primary_only=True)
+    return R.raised_mapq(out, 20).select("read", "contig", "start", "mapq")
+
+
+@query("SELECT contig, count(*) AS places, sum(e - 100 - s)::BIGINT AS bases FROM m WHERE e - s > 100 GROUP BY contig", merge_sql("m", "ord", "s > reach"))
+def z2_sampling_places(spark, sf_dir):
+    m = I.merge(blocks(spark, sf_dir)).select("contig", "start", "end", F.col("contig").alias("chrom"))
+    return Z.sampling_places(m, 200, 0.5).groupBy("contig").agg(F.count(F.lit(1)).alias("places"), F.sum(F.col("end") - F.col("start")).alias("bases"))

@@ -77,11 +77,16 @@ def _suffixes(docs: DataFrame, text: str, least: int, k: int) -> tuple[DataFrame
                 pos, lo, hi, row, key = selected(hashes, rows, least, k)
                 whole = mix(span(lo, hi + least) + (hi - lo).astype(U) * U(3) + (pos - lo).astype(U) * U(0x100000001B3))
                 base = rows[:-1][row] if len(row) else row
-                off = np.searchsorted(row, np.arange(len(part) + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(off), pa.array(v)) for v in (key.view(np.int64), whole.view(np.int64), (lo - base).astype(np.int32), (hi - base).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(span(rows[:-1], rows[1:]).view(np.int64)), pa.array(np.diff(rows)), *lists], names=["doc_id", "th", "n", "key", "whole", "lo", "hi"])
-
-    found = written(src.mapInArrow(lean(run), "doc_id long, th long, n long, key array<long>, whole array<long>, lo array<int>, hi array<int>").withColumn("__row", F.monotonically_increasing_id()), "suffixes")
+                lo, hi = (lo - base).astype(np.int32), (hi - base).astype(np.int32)
+                by = np.lexsort((lo, whole, key, row))  # what a text has again of a stretch goes with its first place
+                key, whole, lo, hi, row = key[by].view(np.int64), whole[by].view(np.int64), lo[by], hi[by], row[by]
+                new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (whole[1:] != whole[:-1]) | (row[1:] != row[:-1])]) if len(row) else row
+                more = [np.stack([lo[a + 1 : b], hi[a + 1 : b]], 1).tobytes() if b - a > 1 else None for a, b in zip(new, np.r_[new[1:], len(row)])]
+                off = pa.array(np.searchsorted(row[new], np.arange(len(part) + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(off, v) for v in (pa.array(key[new]), pa.array(whole[new]), pa.array(lo[new]), pa.array(hi[new]), pa.array(more, pa.binary()))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(span(rows[:-1], rows[1:]).view(np.int64)), pa.array(np.diff(rows)), *lists], names=["doc_id", "th", "n", "key", "whole", "lo", "hi", "more"])
+
+    found = written(src.mapInArrow(lean(run), "doc_id long, th long, n long, key array<long>, whole array<long>, lo array<int>, hi array<int>, more array<binary>").withColumn("__row", F.monotonically_increasing_id()), "suffixes")
     rows, ids, distinct = found.agg(F.count(F.lit(1)), F.count("doc_id"), F.countDistinct("doc_id")).first()
     one = found if rows == distinct else found.dropDuplicates(["doc_id", "th"])
     return found, one.withColumn("row", F.col("doc_id") if rows == distinct else F.col("__row")).drop("__row")
@@ -116,19 +121,26 @@ def _neighbours(order: list[str], pick):
 
 def _pick_stretches(v, new_key, new_part, key_first, part_first, fresh):
     """Whole stretches found again (kind 0 kept, 1 cut) and, to be looked at window by window (kind 2), what differs from a neighbour of
-    the same key: the first of each stretch, and all that the same document has again of it."""
-    key, whole, row, lo, hi = v
+    the same key: the first of each stretch, and all that its document has again of it. A row is all that one document has of a stretch."""
+    key, whole, row, lo, hi, more = v
     index = np.arange(len(key))
-    again = ~new_part & (row != row[part_first]) & (index >= fresh)
-    turn = np.flatnonzero(again & (np.r_[row[:1], row[:-1]] == row[part_first]))  # the second document of a stretch
+    again = np.flatnonzero(~new_part & (row != row[part_first]) & (index >= fresh))
+    turn = again[np.r_[row[:1], row[:-1]][again] == row[part_first][again]]  # the second document of a stretch
     parts = np.cumsum(new_part)
     nth = parts - parts[key_first]
     later = np.flatnonzero(new_part & ~new_key & (index >= fresh))
     second = later[nth[later] == 1]
-    own = np.flatnonzero(~new_part & (row == row[part_first]) & (index >= fresh))
-    at = np.r_[part_first[turn], np.flatnonzero(again), key_first[second], later, own]
-    kind = np.r_[np.zeros(len(turn)), np.ones(int(again.sum())), np.full(len(second) + len(later) + len(own), 2)].astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(row[at]), pa.array(lo[at]), pa.array(hi[at]), pa.array(kind)], names=["row", "lo", "hi", "kind"])
+    first = np.flatnonzero(new_part & (index >= fresh))
+    at = [part_first[turn], again, key_first[second], later]
+    los, his, kinds = [lo[x] for x in at], [hi[x] for x in at], [np.zeros(len(turn)), np.ones(len(again)), np.full(len(second) + len(later), 2)]
+    for rows, kind in ((again, 1), (first, 2)):
+        got = [(i, np.frombuffer(more[i], np.int32).reshape(-1, 2)) for i in rows if more[i] is not None]
+        at.append(np.repeat(np.array([i for i, _ in got], np.int64), [len(x) for _, x in got]))
+        los += [x[:, 0] for _, x in got]
+        his += [x[:, 1] for _, x in got]
+        kinds.append(np.full(len(at[-1]), kind))
+    at = np.concatenate(at).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(row[at]), pa.array(np.concatenate(los).astype(np.int32)), pa.array(np.concatenate(his).astype(np.int32)), pa.array(np.concatenate(kinds).astype(np.int32))], names=["row", "lo", "hi", "kind"])
 
 
 def _pick_windows(v, new_key, new_part, key_first, part_first, fresh):
@@ -162,9 +174,9 @@ def repeated_passages(docs: DataFrame, text: str = "text", least: int = 50, k: i
     Memory: neighbours are compared as a stream that remembers three rows, so a passage in very many documents fits.
     """
     suffixes, found = _suffixes(docs, text, least, k)
-    flat = found.where(F.size("key") > 0).select("row", F.explode(F.arrays_zip("key", "whole", "lo", "hi")).alias("z")).select("z.key", "z.whole", "row", "z.lo", "z.hi")
+    flat = found.where(F.size("key") > 0).select("row", F.explode(F.arrays_zip("key", "whole", "lo", "hi", "more")).alias("z")).select("z.key", "z.whole", "row", "z.lo", "z.hi", "z.more")
     order = ["key", "whole", "row", "lo", "hi"]
-    stretches = written(_sorted(flat, order).mapInArrow(lean(_neighbours(order, _pick_stretches)), "row long, lo int, hi int, kind int"), "stretches")
+    stretches = written(_sorted(flat, order).mapInArrow(lean(_neighbours([*order, "more"], _pick_stretches)), "row long, lo int, hi int, kind int"), "stretches")
     doubtful = stretches.where("kind = 2").groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("z"))
     wanted = written(doubtful.join(found.select("row", "doc_id", "th"), "row").select("row", "doc_id", "th", F.col("z.lo").alias("lo"), F.col("z.hi").alias("hi")), "wanted")
     src = docs.select(docs["doc_id"].cast("long").alias("__id"), docs[text].cast("string").alias("text"))

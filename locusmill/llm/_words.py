@@ -130,7 +130,7 @@ def shingle_sets(texts: pa.Array, k: int):
             yield np.empty(0, U)
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 22):
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 21):
     """Slices of a batch with about `most` text bytes each, so that the arrays above stay small."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     a = 0

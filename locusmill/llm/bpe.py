@@ -108,7 +108,7 @@ class Bpe:
         self.flat = np.concatenate([self.flat, flat])
         self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(count)])
 
-    def words_of(self, texts: list[str], most_words: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
+    def words_of(self, texts: list[str], most_words: int = 250_000) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the words (in self.known; -1 - id for an added token) of all texts, and how many each text has."""
         if len(self.known) > most_words:
             self.known, self.flat, self.begin = {}, np.empty(0, np.int32), np.zeros(1, np.int64)
@@ -185,7 +185,7 @@ def _spec(df: DataFrame, path: str):
 
 
 def _parts(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    for part in pieces(batch, column, 1 << 22):
+    for part in pieces(batch, column, 1 << 20):
         yield part, [t or "" for t in part.column(column).to_pylist()]
 
 

@@ -88,7 +88,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", smooth: float =
         sums: dict[str, np.ndarray] = {}
         seen: dict[str, int] = {}
         for batch in batches:
-            for part in pieces(batch, "text", 1 << 21):
+            for part in pieces(batch, "text", 1 << 19):
                 said = part.column("lang").to_pylist()
                 names = sorted(set(said))
                 number = np.array([names.index(x) for x in said], np.int64)
@@ -170,7 +170,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for part in pieces(batch, "__text", 1 << 22):
+            for part in pieces(batch, "__text", 1 << 19):
                 names, scores = score_batch(m, [t or "" for t in part.column("__text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 

@@ -434,11 +434,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", k: int = 5, percent: in
     sets = _features(docs, text, k, percent, sketch_levels(docs, text, k))
     some = sets.where("n > 0")
     classes = some.groupBy("h1", "h2").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("m")).where("m > 1").select("h1", "h2", "node")
-    copies = written(some.select("row", "h1", "h2").join(classes, ["h1", "h2"]).where("row <> node").select("row", "node"), "copies")
+    classes = written(classes, "classes")  # as a table of its own, so that the join can be broadcast or split
+    copies = written(some.select("row", "h1", "h2").join(small(classes), ["h1", "h2"]).where("row <> node").select("row", "node"), "copies")
     narrow = some.select("row", "mins").join(small(copies.select("row")), "row", "left_anti")
     exploded = narrow.select("row", F.posexplode("mins").alias("j", "h"))
     pivots = exploded.groupBy("j", "h").agg(F.min("row").alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1").select("j", "h", "pivot")
-    stars = written(exploded.join(pivots, ["j", "h"]).where("row <> pivot").select(F.col("row").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
+    pivots = written(pivots, "pivots")
+    stars = written(exploded.join(small(pivots), ["j", "h"]).where("row <> pivot").select(F.col("row").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
     star_links = _verified(stars, sets, docs, text, k, percent)
     labels = written(connected_components(star_links), "labels")
     nodes = some.select("row", "n", "first").join(small(copies.select("row")), "row", "left_anti")
@@ -461,5 +463,5 @@ def near_duplicates(docs: DataFrame, text: str = "text", k: int = 5, percent: in
     known = sets.select("row", "doc_id", "n").join(parts, F.col("row") == F.col("node"), "left").select("row", "doc_id", "n", "label")
     known = written(known, "components")
     least = known.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
-    dropped(stars, members, some_pairs, sets, copies)
+    dropped(classes, pivots, stars, members, some_pairs, sets, copies)
     return known.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))

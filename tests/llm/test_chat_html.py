@@ -53,3 +53,13 @@ def test_template_goes_by_its_importance(spark):
     assert got[100][0].startswith("Welcome") and got[101] == ("n", 1) and got[102] == ("", 0)
     assert html.extract(spark.createDataFrame(data, "page_id long, url string, html string")).count() == len(data)
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_repeated_text_of_a_container_takes_nothing_below_it(spark):
+    page = [
+        "<body>Skip to content <article><p>Unique {i}</p></article></body>", "<body><article>By our staff<p>Unique {i}</p></article></body>",
+        "<body><div>Share this page</div><div><p>Unique {i}</p></div></body>", "<body><div class=box>Same<div class=in>Same too<p>Unique {i}</p></div></div></body>",
+    ]
+    data = [(h * 10 + i, f"http://h{h}.example/{i}", p.format(i=i)) for h, p in enumerate(page) for i in range(6)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert got == {h * 10 + i: f"Unique {i}" for h in range(len(page)) for i in range(6)}

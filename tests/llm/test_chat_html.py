@@ -63,3 +63,15 @@ def test_repeated_text_of_a_container_takes_nothing_below_it(spark):
     data = [(h * 10 + i, f"http://h{h}.example/{i}", p.format(i=i)) for h, p in enumerate(page) for i in range(6)]
     got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
     assert got == {h * 10 + i: f"Unique {i}" for h in range(len(page)) for i in range(6)}
+
+
+def test_copies_of_a_story_count_once(spark):
+    long = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    marked = "<body><nav>Menu {i}</nav><div class=ad>Buy {i}</div><article><p>Story {k}</p></article><footer>Foot {i}</footer></body>"
+    plain = "<body><div class=top>Go {i}</div><div class=note>All the same</div><p>{k} {long}</p></body>"
+    data = [(i, f"http://a.example/{i}", marked.format(i=i, k=0 if i < 9 else i)) for i in range(10)]
+    data += [(100 + i, f"http://b.example/{i}", marked.format(i=i, k=0)) for i in range(4)]
+    data += [(200 + i, f"http://c.example/{i}", plain.format(i=i, k=0 if i < 40 else i, long=long)) for i in range(44)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(10)] == ["Story 0"] * 9 + ["Story 9"] and [got[100 + i] for i in range(4)] == ["Story 0"] * 4
+    assert [got[200 + i] for i in range(44)] == [f"Go {i} {0 if i < 40 else i} {long}" for i in range(44)]

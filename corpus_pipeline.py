@@ -24,13 +24,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays, once."""
+    """Of each group of near duplicates one row stays: the one with the smallest doc_id (null last), among equal ones with the smallest digest.
+
+    Rows are written with a number first, as doc_ids may be null or shared."""
     ship(spark)
-    found = jaccard.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = found.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__rows"))
+    rows = docs.select(*COLUMNS).withColumn("__h", F.xxhash64(*COLUMNS)).withColumn("__row", F.monotonically_increasing_id())
+    rows = written(rows, "rows")
+    found = jaccard.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__id"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__h", "__row")
+    keep = rows.join(found, F.col("__row") == F.col("__id")).groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.__row").alias("__keep"))
     keep = written(keep, "keep")
-    out = docs.join(jaccard.small(keep), docs["doc_id"].eqNullSafe(keep["__id"]), "left_semi").select(*COLUMNS)
-    return out.dropDuplicates(["doc_id"]) if keep.where("__rows > 1").limit(1).count() else out
+    return rows.join(jaccard.small(keep), F.col("__row") == F.col("__keep"), "left_semi").select(*COLUMNS)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

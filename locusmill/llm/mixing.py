@@ -35,18 +35,18 @@ def source_targets(sizes: DataFrame, source: str, size: str, weights: list[int],
     return per.select(source, "source_size", F.coalesce(F.least(F.col("__cap"), F.col("__level") * F.col("__w")), F.col("__cap")).alias("target"))
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix") -> DataFrame:
-    """How often the mix takes each document: doc_id, source, size, source_size, target, copies, taken (copies * size).
+def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix", keys: tuple[str, ...] = ()) -> DataFrame:
+    """How often the mix takes each document: doc_id, source, size, source_size, target, copies, taken (copies * size), and the columns `keys`.
 
     One row for each input row. size: words of the whole text (null: 0). Sources without words have target 0 and copies 0.
     copies never exceeds `most` rounded up. The offset is drawn from `seed` and the source's name, so reruns agree.
-    Rows with the same doc_id and size are alike to the sampling: which of them comes first doesn't change the result.
+    Rows with the same doc_id and size are alike to the sampling: which of them comes first (by `keys`, where given) doesn't change how many are taken.
     A null source is a source of its own, a null doc_id sorts first.
     Order within a source is by size, then by 256 groups of ids' digests, then by id: ranks come from counts of (source, size,
     group), so that a source or a group of copies with a third of all rows is ranked by many tasks.
     """
     sizes = written(
-        docs.select(docs[doc_id].alias("doc_id"), docs[source].cast("string").alias("source"), F.coalesce(F.regexp_count(docs[text].cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+        docs.select(docs[doc_id].alias("doc_id"), docs[source].cast("string").alias("source"), F.coalesce(F.regexp_count(docs[text].cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *[docs[c] for c in keys])
         .withColumn("__g", F.coalesce(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 2), F.lit(""))),
         "mix-sizes",
     )
@@ -61,25 +61,25 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
         F.col("g.source").alias("s_source"), F.col("g.size").alias("s_size"), F.col("g.__g").alias("s_g"), (F.col("l.__below") + F.col("g.__here")).alias("__start")
     )
     starts = starts.join(t, F.col("s_source").eqNullSafe(F.col("t.source"))).select("s_source", "s_size", "s_g", "__start", "source_size", "target")
-    ranked = sizes.withColumn("__r", F.row_number().over(Window.partitionBy("source", "size", "__g").orderBy("doc_id")))
+    ranked = sizes.withColumn("__r", F.row_number().over(Window.partitionBy("source", "size", "__g").orderBy("doc_id", *keys)))
     out = ranked.join(starts, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("size") == F.col("s_size")) & (F.col("__g") == F.col("s_g")))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce("source", F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rank = F.col("__start") + F.col("__r")
     copies = (F.floor(rank * rate + offset) - F.floor((rank - 1) * rate + offset)).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *keys)
 
 
 def mixed(docs: DataFrame, most: int = 1_000_000, **options) -> DataFrame:
     """The mix itself: each row of docs as often as mix() takes it, with its columns unchanged.
 
-    Rows that share a doc_id are one document: the first of them that Spark comes upon is taken as often as all together. How often is
+    Each row is a document of its own, also where doc_ids are null or shared: rows are written with a number first. How often is
     broadcast if the counted rows are at most `most` (about 24 MB), so that texts stay where they are; else it is joined."""
-    key = options.get("doc_id", "doc_id")
-    taken = mix(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
+    names = [options.get(k, k) for k in ("text", "source")]
+    rows = written(docs.withColumn("__h", F.xxhash64(*[docs[c].cast("string") for c in names])).withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
+    taken = mix(rows, keys=("__h", "__row"), **options).where("copies > 0").select(F.col("__row").alias("__id"), F.col("copies").alias("__copies"))
     taken = written(taken, "mix-copies")
-    one = docs.dropDuplicates([key]) if taken.where("__rows > 1").limit(1).count() else docs
-    joined = one.join(F.broadcast(taken) if taken.count() <= most else taken, one[key].eqNullSafe(taken["__id"]))
+    joined = rows.join(F.broadcast(taken) if taken.count() <= most else taken, rows["__row"] == taken["__id"])
     return joined.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
 
 

@@ -40,3 +40,19 @@ def test_stages_return_documents_columns(spark):
     assert len(corpus_pipeline.STAGES) == 5
     for _, f in corpus_pipeline.STAGES:
         assert f(spark, docs.where("false"), SF).count() == 0
+
+
+def test_null_and_shared_ids(spark):
+    """Each group keeps one row of its own, whatever ids it shares, and the mix takes rows, not ids."""
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(40 + k))
+    data = [(None, text(1)), (None, text(2)), (None, text(3)), (3, text(4)), (5, text(4)), (5, text(5)), (7, text(6)), (7, text(7)), (None, text(7)), (9, text(8)), (9, text(8)), (None, text(9)), (None, text(9))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    want = Counter([(None, text(1)), (None, text(2)), (None, text(3)), (3, text(4)), (5, text(5)), (7, text(6)), (7, text(7)), (9, text(8)), (None, text(9))])
+    for n in (1, 5):
+        got = corpus_pipeline.jaccard_join(spark, docs.repartition(n), SF)
+        assert Counter((r.doc_id, r.text) for r in got.collect()) == want
+    # one source: its target is its own size, so every row is taken once
+    got = corpus_pipeline.suffix_dedup(spark, got, SF)
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == want
+    got = corpus_pipeline.mix_sources(spark, got, SF)
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == want

@@ -20,12 +20,24 @@ from locusmill.llm.vectors import QUERIES, SHARD, best, dealt, matrix, queries_o
 
 M = 16
 BEAM = 128
+LONGEST = 32  # longest vectors, which most queries are near to by inner product and few nodes by distance: the lowest layer is entered there too
 POOL = 64  # nearest ones among which a node's neighbours are chosen
 
 
 def lifted(v: np.ndarray) -> np.ndarray:
+    """v with one more component, in doubles: distances are far smaller than the common length where a vector is much longer than others."""
     square = np.einsum("ij,ij->i", v, v)
-    return np.c_[v, np.sqrt(np.maximum(square.max() - square, 0))].astype(np.float32)
+    return np.c_[v, np.sqrt(np.maximum(square.max() - square, 0))]
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances between rows of a and of b, both lifted: the last components, which may be huge, are subtracted before they are squared."""
+    u, w = a[..., :-1], b[..., :-1]
+    d = -2 * (u @ np.swapaxes(w, -1, -2))
+    d += (u * u).sum(-1)[..., :, None]
+    d += (w * w).sum(-1)[..., None, :]
+    d += (a[..., -1][..., :, None] - b[..., -1][..., None, :]) ** 2
+    return d
 
 
 def _thin(x: np.ndarray, node: np.ndarray, pool: np.ndarray, most: int) -> np.ndarray:
@@ -38,8 +50,7 @@ def _thin(x: np.ndarray, node: np.ndarray, pool: np.ndarray, most: int) -> np.nd
         d[c < 0] = np.inf
         by = np.argsort(d, axis=1, kind="stable")
         c, d, y = np.take_along_axis(c, by, 1), np.take_along_axis(d, by, 1), np.take_along_axis(y, by[:, :, None], 1)
-        sq = (y * y).sum(2)
-        between = sq[:, :, None] + sq[:, None, :] - 2 * (y @ y.transpose(0, 2, 1))
+        between = _apart(y, y)
         kept = np.zeros(c.shape, bool)
         for j in range(c.shape[1]):
             hidden = (kept & (between[:, j] < d[:, j : j + 1])).any(1)
@@ -56,7 +67,6 @@ def layer(x: np.ndarray, nodes: np.ndarray, most: int) -> np.ndarray:
     n = len(nodes)
     near = np.full((n, most), -1, np.int32)  # places within nodes
     pts = x[nodes]
-    sq = (pts * pts).sum(1)
     done, step = 0, 64
     while done < n:
         end = min(n, max(done + step, int(done * 1.5)))
@@ -64,11 +74,11 @@ def layer(x: np.ndarray, nodes: np.ndarray, most: int) -> np.ndarray:
         want = min(POOL, end - 1)
         if want > 0:
             pool = np.full((len(new), want), -1, np.int32)
-            for a in range(0, len(new), 512):
-                i = new[a : a + 512]
-                d = sq[:end][None] - 2 * (pts[i] @ pts[:end].T)
+            for a in range(0, len(new), 256):
+                i = new[a : a + 256]
+                d = _apart(pts[i], pts[:end])
                 d[np.arange(len(i)), i] = np.inf
-                pool[a : a + 512] = np.argpartition(d, want - 1, axis=1)[:, :want]
+                pool[a : a + 256] = np.argpartition(d, want - 1, axis=1)[:, :want]
             near[new] = _thin(pts, new, pool, most)
             # links back: every neighbour gets the new node; lists that grow too long are thinned
             src = np.repeat(new, most)
@@ -162,10 +172,13 @@ def search(v: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], q: np.nda
     """For each query up to `beam` nodes, best first (-1: none)."""
     v32, q32 = v.astype(np.float32), q.astype(np.float32)
     start = np.tile(layers[-1][0][: min(16, len(layers[-1][0]))], (len(q), 1))
+    far = np.argsort(-np.einsum("ij,ij->i", v, v), kind="stable")[:LONGEST]
     for h in range(len(layers) - 1, -1, -1):
         nodes, near = layers[h]
         full = np.full((len(v), near.shape[1]), -1, np.int32)
         full[nodes] = near
+        if h == 0:
+            start = np.c_[start, np.where((start[:, :, None] == far).any(1), -1, far)]
         start, _ = _beam(v32, q32, full, start, beam if h == 0 else 16, 4 if h == 0 else 1)
     return start
 

@@ -75,3 +75,20 @@ def test_few(spark):
     d = [(i, [float(i), 1.0]) for i in range(5)]
     assert ann.nearest(frame(spark, d), every=2).count() == 3 * 4
     assert ann.nearest(frame(spark, []), every=2).count() == 0
+
+
+def test_recall_with_mixed_norms():
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(40, 32))[rng.integers(0, 40, 2500)] + 0.6 * rng.normal(size=(2500, 32))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    q = v[:100]
+    long = rng.normal(size=(1, 32))
+    for w in (v, *(np.r_[v, long / np.linalg.norm(long) * 10.0**e] for e in (2, 4, 6, 8)), v * 10 ** rng.uniform(-2, 4, (len(v), 1)), v * np.where(rng.random((len(v), 1)) < 0.01, 1000, 1)):
+        exact = np.argsort(-(q @ w.T), axis=1)[:, :20]
+        got = ann.search(w, ann.build(w), q)
+        hit = 0
+        for i in range(len(q)):
+            g = got[i][got[i] >= 0]
+            assert len(set(g)) == len(g)
+            hit += len(set(g[np.argsort(-(w[g] @ q[i]))[:20]]) & set(exact[i]))
+        assert hit / exact.size >= 0.97

@@ -759,3 +759,12 @@ def q8_corrected_alignments(spark, sf_dir):
 def z2_sampling_places(spark, sf_dir):
     m = I.merge(blocks(spark, sf_dir)).select("contig", "start", "end", F.col("contig").alias("chrom"))
     return Z.sampling_places(m, 200, 0.5).groupBy("contig").agg(F.count(F.lit(1)).alias("places"), F.sum(F.col("end") - F.col("start")).alias("bases"))
+
+
+# whole jobs beside queries whose SQL takes a part of them
+
+
+@query("SELECT contig, min(s) AS start, max(pos) AS \"end\", cov FROM (SELECT *, sum(CASE WHEN p = cov THEN 0 ELSE 1 END) OVER (PARTITION BY contig ORDER BY s ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT contig, s, s + 1 AS pos, cov, lag(cov) OVER (PARTITION BY contig ORDER BY s) AS p FROM (SELECT contig, s, e, n AS cov FROM z))) GROUP BY contig, k, cov", sweep_sql("z", "prim", {}))
+def s26_depth_to_segments_whole(spark, sf_dir):
+    d = I.depth(D.primary(spark, sf_dir)).select("contig", (F.col("start") + 1).alias("pos"), F.col("n").alias("depth"))
+    return C.depth_to_segments(d).select("contig", "start", "end", "cov")

@@ -768,3 +768,17 @@ def z2_sampling_places(spark, sf_dir):
 def s26_depth_to_segments_whole(spark, sf_dir):
     d = I.depth(D.primary(spark, sf_dir)).select("contig", (F.col("start") + 1).alias("pos"), F.col("n").alias("depth"))
     return C.depth_to_segments(d).select("contig", "start", "end", "cov")
+
+
+@query('SELECT o.contig, greatest(o.s, a.s) AS start, least(o.e, a.e) AS "end", value FROM ord o JOIN ann a ON o.contig = a.contig AND o.s < a.e AND a.s < o.e')
+def i5_intersect_whole(spark, sf_dir):
+    return I.intersect(blocks(spark, sf_dir), D.annotations(spark, sf_dir))
+
+
+@query(
+    'SELECT z.contig, z.s AS start, z.e AS "end", o.value AS block, coalesce(t.label, -1)::INTEGER AS truth FROM cut z JOIN base o ON z.contig = o.contig AND o.s <= z.s AND z.e <= o.e LEFT JOIN lab t ON z.contig = t.contig AND t.s <= z.s AND z.e <= t.e',
+    merge_sql("mm", "ord", "s > reach") + ", base AS (SELECT contig, s, e, n::INTEGER AS value FROM mm), lab AS (SELECT * FROM truth WHERE label >= 0), marks AS (SELECT contig, s, e FROM base UNION ALL SELECT contig, s, e FROM lab), " + sweep_sql("cut", "marks", {}),
+)
+def l1_augment_labels_whole(spark, sf_dir):
+    base = I.merge(blocks(spark, sf_dir)).select("contig", "start", "end", F.col("n").cast("int").alias("block"))
+    return C.with_labels(base, D.tiles(spark, sf_dir, "truth").where("label >= 0"), "truth")

@@ -37,3 +37,9 @@ def test_without_the_subpackage(tmp_path):
 def test_depths_of_whole_contigs(spark):
     """Positions behind the first 3000 too."""
     assert QUERIES["s26_depth_to_segments_whole"](spark, "/root/testdata/sf0.001").where("end > 3000").count() > 0
+
+
+def test_all_annotations_and_labels(spark):
+    """More than the queries that take a part of them."""
+    for name in ("i5_intersect", "l1_augment_labels"):
+        assert QUERIES[f"{name}_whole"](spark, "/root/testdata/sf0.001").exceptAll(QUERIES[name](spark, "/root/testdata/sf0.001")).count() > 0

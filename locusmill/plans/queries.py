@@ -782,3 +782,20 @@ def i5_intersect_whole(spark, sf_dir):
 def l1_augment_labels_whole(spark, sf_dir):
     base = I.merge(blocks(spark, sf_dir)).select("contig", "start", "end", F.col("n").cast("int").alias("block"))
     return C.with_labels(base, D.tiles(spark, sf_dir, "truth").where("label >= 0"), "truth")
+
+
+@query(
+    "SELECT aln, 'all' AS part, qs AS from_start, qs + q + 1 + ln + 2 + e AS from_end, rs AS to_start, rs + q + 1 + d + e AS to_end FROM lin "
+    "UNION ALL SELECT aln, 'head', CASE WHEN aln % 2 = 0 THEN qs ELSE qs + ln + 2 + e END, CASE WHEN aln % 2 = 0 THEN qs + q + 1 ELSE qs + q + 1 + ln + 2 + e END, rs, rs + q + 1 FROM lin "
+    "UNION ALL SELECT aln, 'tail', CASE WHEN aln % 2 = 0 THEN qs + q + 1 + ln + 2 ELSE qs END, CASE WHEN aln % 2 = 0 THEN qs + q + 1 + ln + 2 + e ELSE qs + e END, rs + q + 1 + d, rs + q + 1 + d + e FROM lin",
+    f"{CIG}, {PIECES}",
+)
+def x1_projection_whole(spark, sf_dir):
+    """Carries each alignment of both strands over, as a whole and as its parts up to and after the mismatch."""
+    a = placed(spark, sf_dir).withColumn("contig", F.concat(F.lit("c"), F.col("aln").cast("string")))
+    head = F.expr("element_at(filter(cigar, x -> x.op = '='), 1).len") + 1
+    lo, hi, plus = F.col("contig_start"), F.col("contig_end"), F.col("strand") == "+"
+    part = lambda name, s, e: F.struct(F.lit(name).alias("part"), s.alias("start"), e.alias("end"))
+    parts = F.array(part("all", lo, hi), part("head", F.when(plus, lo).otherwise(hi - head), F.when(plus, lo + head).otherwise(hi)), part("tail", F.when(plus, lo + head).otherwise(lo), F.when(plus, hi).otherwise(hi - head)))
+    b = a.select("contig", F.inline(parts))
+    return L.project(b, a).select("aln", "part", "from_start", "from_end", "to_start", "to_end")

@@ -1,3 +1,5 @@
+import re
+
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -64,3 +66,23 @@ def test_conservative(spark):
     own = spark.createDataFrame([("a", 0, 10, 1), ("a", 10, 20, 3), ("a", 20, 30, 0)], "contig string, start long, end long, label int")
     other = spark.createDataFrame([("a", 0, 10, 2, "x"), ("a", 10, 20, 0, "x"), ("a", 10, 20, 2, "y")], "contig string, start long, end long, label int, way string")
     assert rows(L.conservative_labels(own, other)) == [("a", 0, 10, 2), ("a", 10, 20, 3), ("a", 20, 30, 0)]
+
+
+def test_both_strands_base_by_base(spark):
+    a = alignments(spark)
+    b = spark.createDataFrame([("ctg", s, s + n) for lo in (100, 200) for n in (1, 7, 50) for s in range(lo - 3, lo + 50, 4)], "contig string, start long, end long")
+    pairs = {1: [], 2: []}
+    for aln, lo, hi in ((1, 100, 150), (2, 200, 250)):
+        q, r = 0, 10
+        for op in "".join(o * int(k) for k, o in re.findall(r"(\d+)([=XID])", CIGAR)):
+            if op in "=X":
+                pairs[aln].append((lo + q if aln == 1 else hi - 1 - q, r))
+            q, r = q + (op != "D"), r + (op != "I")
+    want = []
+    for _, s, e in b.collect():
+        for aln, at in pairs.items():
+            met = [(x, y) for x, y in at if s <= x < e]
+            if met:
+                x, y = zip(*met)
+                want.append((s, e, aln, min(x), max(x) + 1, min(y), max(y) + 1))
+    assert rows(L.project(b, a), "start", "end", "aln", "from_start", "from_end", "to_start", "to_end") == sorted(want)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from locusmill.functions import bits as B
 from locusmill.operators.intervals import collapse, intersect, merge, subtract
-from locusmill.operators.running import neighbour, running, tiled
+from locusmill.operators.running import numbered, tiled
 
 #: Labels, their numbers and display colours.
 LABELS = {"Err": 0, "Dup": 1, "Hap": 2, "Col": 3, "Unk": 4}
@@ -28,10 +28,9 @@ def runs(segments: DataFrame, ref: str, query: str, in_stratum: Column, by: list
     doesn't end a run; a row outside the stratum does."""
     keys = [*(by or []), "contig"]
     rows = segments.select(*keys, "start", "end", F.col(ref).alias("__r"), F.col(query).alias("__q"), F.coalesce(in_stratum, F.lit(False)).alias("__in"))
-    rows = neighbour(tiled(rows, F.col("start")), keys, ["start"], ["__in", "__r", "__q"], "__p")
-    new = F.when(F.col("__in") & F.col("__p.__in").eqNullSafe(F.lit(True)) & (F.col("__p.__r") == F.col("__r")), 0).otherwise(1)
-    rows = rows.withColumn("__new", new).withColumn("__nq", F.greatest("__new", F.when(F.col("__p.__q") == F.col("__q"), 0).otherwise(1)))
-    rows = running(rows, keys, ["start"], {"run": ("sum", F.col("__new")), "sub": ("sum", F.col("__nq"))})
+    new = lambda p: ~(F.col("__in") & p["__in"].eqNullSafe(F.lit(True)) & F.coalesce(p["__r"] == F.col("__r"), F.lit(False)))
+    begins = {"run": new, "sub": lambda p: new(p) | ~F.coalesce(p["__q"] == F.col("__q"), F.lit(False))}
+    rows = numbered(tiled(rows, F.col("start")), keys, ["start"], ["__in", "__r", "__q"], begins)
     known = lambda c: F.when(F.col(c) < 0, UNKNOWN).otherwise(F.col(c)).cast("int")
     return rows.where("__in").groupBy(*keys, "run", "sub").agg(F.first(known("__r")).alias("ref"), F.first(known("__q")).alias("query"), F.sum(F.col("end") - F.col("start")).alias("bases"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from locusmill.functions import bits as B
 from locusmill.operators.intervals import chunk_last, collapse, overlap_join, sweep
-from locusmill.operators.running import TILE
+from locusmill.operators.running import TILE, runs, tiled
 
 HISTOGRAM = 249  # depths above count as this one
 WINDOW_CAP = 250
@@ -178,7 +178,7 @@ def effective_windows(blocks: DataFrame, excluded: DataFrame, window: int) -> Da
     """contig, start, end, part: blocks without the excluded parts, cut into floor(bases / window) parts of `window` bases for each contig, at least
     one; the last takes the rest."""
     from locusmill.operators.intervals import subtract
-    from locusmill.operators.running import running, tiled
+    from locusmill.operators.running import running
 
     own = subtract(blocks, excluded)
     total = own.groupBy("contig").agg(F.sum(F.col("end") - F.col("start")).alias("__all"))
@@ -195,12 +195,9 @@ def effective_windows(blocks: DataFrame, excluded: DataFrame, window: int) -> Da
 def depth_to_segments(depth: DataFrame) -> DataFrame:
     """Per-position depth (contig, pos from 1, depth) as run-length segments; like the text tool it stands for, a gap in positions doesn't end a run
     of equal depth."""
-    from locusmill.operators.running import neighbour, running, tiled
-
-    rows = neighbour(tiled(depth, F.col("pos")), ["contig"], ["pos"], ["depth"], "__p")
-    rows = rows.withColumn("__new", F.when(F.col("__p.depth").eqNullSafe(F.col("depth")), 0).otherwise(1))
-    rows = running(rows, ["contig"], ["pos"], {"__run": ("sum", F.col("__new"))})
-    return rows.groupBy("contig", "__run").agg((F.min("pos") - 1).alias("start"), F.max("pos").alias("end"), F.first("depth").alias("cov")).drop("__run")
+    final = [F.min("pos").alias("pos"), F.max("last").alias("last"), F.first("depth").alias("depth")]
+    rows = runs(tiled(depth.withColumn("last", F.col("pos")), F.col("pos")), ["contig"], ["pos"], ["depth"], lambda p: p.isNotNull() & p["depth"].eqNullSafe(F.col("depth")), final, final)
+    return rows.select("contig", (F.col("pos") - 1).alias("start"), F.col("last").alias("end"), F.col("depth").alias("cov"))
 
 
 def component_blocks(segments: DataFrame, table: DataFrame, names: list[str]) -> DataFrame:

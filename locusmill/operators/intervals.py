@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusmill.operators.running import TILE, neighbour, running, tiled
+from locusmill.operators.running import TILE, cut_at_tiles, linked, neighbour, running, runs, tiled
 
 KEY = ("contig", "start", "end")
 
@@ -16,15 +16,19 @@ def sweep(intervals: DataFrame, sums: dict[str, Column] | None = None, tile: int
     """Segmenting merge: contig, start, end, n and each of `sums` added up over the intervals that cover a segment.
 
     Cut at every start and every end, also where nothing changes on balance; gaps give no row; equal neighbours stay apart.
-    Events are pre-aggregated by position before the shuffle."""
+    Intervals are cut at tiles, so that sums begin anew in each; segments that go on over a tile's end are joined again, and cuts that only tiles made
+    are told from real ones. Events are pre-aggregated by position before the shuffle."""
     values = {"n": F.lit(1), **(sums or {})}
-    rows = intervals.where("start < end").select("contig", "start", "end", *[e.cast("long").alias(n) for n, e in values.items()])
-    event = lambda at, sign: F.struct(F.col(at).alias("pos"), *[(F.col(n) * sign).alias(n) for n in values])
-    events = rows.select("contig", F.explode(F.array(event("start", 1), event("end", -1))).alias("e")).select("contig", "e.*")
-    events = tiled(events.groupBy("contig", "pos").agg(*[F.sum(n).alias(n) for n in values]), F.col("pos"), tile)
-    events = neighbour(events, ["contig"], ["pos"], ["pos"], "__next", ahead=True)
-    found = running(events, ["contig"], ["pos"], {f"s_{n}": ("sum", F.col(n)) for n in values})
-    return found.where("s_n > 0").select("contig", F.col("pos").alias("start"), F.col("__next.pos").alias("end"), *[F.col(f"s_{n}").alias(n) for n in values])
+    rows = cut_at_tiles(intervals.where("start < end").select("contig", "start", "end", *[e.cast("long").alias(n) for n, e in values.items()]), tile)
+    event = lambda at, sign, cut: F.struct("__tile", F.col(at).alias("pos"), (~F.col(cut)).alias("__real"), *[(F.col(n) * sign).alias(n) for n in values])
+    events = rows.select("contig", F.explode(F.array(event("__s", 1, "__from"), event("__e", -1, "__to"))).alias("e")).select("contig", "e.*")
+    events = events.groupBy("contig", "__tile", "pos").agg(F.max("__real").alias("__real"), *[F.sum(n).alias(n) for n in values])
+    inside = Window.partitionBy("contig", "__tile").orderBy("pos")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    found = events.select("contig", "__tile", F.col("pos").alias("start"), F.lead("pos").over(inside).alias("end"), (~F.col("__real")).alias("__from"), (~F.lead("__real").over(inside)).alias("__to"), *[F.sum(n).over(upto).alias(n) for n in values])
+    on = lambda p: p["__to"] & F.col("__from") & (p["end"] == F.col("start"))
+    final = [F.min("start").alias("start"), F.max("end").alias("end"), *[F.first(n).alias(n) for n in values]]
+    return linked(found.where("n > 0"), ["contig"], ["start"], ["end", "__to"], on, final, edge=F.col("__from") | F.col("__to"))
 
 
 def zero_filled(intervals: DataFrame, contigs: DataFrame, sums: dict[str, Column] | None = None, tile: int = TILE) -> DataFrame:
@@ -39,13 +43,19 @@ def zero_filled(intervals: DataFrame, contigs: DataFrame, sums: dict[str, Column
 def merge(intervals: DataFrame, gap: int = 0, abut: bool = True, sums: dict[str, Column] | None = None, tile: int = TILE) -> DataFrame:
     """Union: contig, start, end, n (intervals joined) and sums of payloads.
 
-    abut=True: intervals that touch, or are at most `gap` apart, are joined; abut=False: only those that share a position."""
-    rows = tiled(intervals, F.col("start"), tile)
-    rows = running(rows, ["contig"], ["start", "end"], {"__reach": ("max", F.col("end"))}, before=True)
+    abut=True: intervals that touch, or are at most `gap` apart, are joined; abut=False: only those that share a position. Intervals are joined inside
+    tiles, and over their ends where one goes on or the gap is small enough; an interval counts where it starts."""
+    own = ~F.col("__from")
+    rows = cut_at_tiles(intervals.select("contig", "start", "end", *[e.alias(f"__sum_{n}") for n, e in (sums or {}).items()]), tile)
+    rows = rows.select("contig", "__tile", F.col("__s").alias("start"), F.col("__e").alias("end"), "__from", "__to", own.cast("long").alias("n"), *[F.when(own, F.col(f"__sum_{n}")).alias(n) for n in sums or {}])
+    inside = Window.partitionBy("contig", "__tile").orderBy("start", "end")
+    rows = rows.withColumn("__reach", F.max("end").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
     apart = F.col("start") > F.col("__reach") + gap if abut else F.col("start") >= F.col("__reach")
-    rows = rows.withColumn("__new", F.when(F.col("__reach").isNull() | apart, 1).otherwise(0))
-    rows = running(rows, ["contig"], ["start", "end"], {"__island": ("sum", F.col("__new"))})
-    return rows.groupBy("contig", "__island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n"), *[F.sum(e).alias(n) for n, e in (sums or {}).items()]).drop("__island")
+    rows = rows.withColumn("__island", F.sum(F.when(F.col("__reach").isNull() | apart, 1).otherwise(0)).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    final = [F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), *[F.sum(n).alias(n) for n in sums or {}]]
+    found = rows.groupBy("contig", "__tile", "__island").agg(*final, F.max("__from").alias("__from"), F.max("__to").alias("__to")).drop("__island")
+    on = lambda p: (p["__to"] & F.col("__from")) | (F.col("start") <= p["end"] + gap if abut else F.lit(False))
+    return linked(found, ["contig"], ["start"], ["end", "__to"], on, final)
 
 
 def overlap_join(left: DataFrame, right: DataFrame, bucket: int = 1 << 14, how: str = "inner", prefix: str = "r_") -> DataFrame:
@@ -129,12 +139,16 @@ def priority_overlay(tables: Sequence[DataFrame], contigs: DataFrame, tile: int
 
 def collapse(segments: DataFrame, values: list[str], tile: int = TILE) -> DataFrame:
     """Run-length collapse: neighbours that touch and agree in `values` become one segment."""
-    rows = neighbour(tiled(segments.select("contig", "start", "end", *values), F.col("start"), tile), ["contig"], ["start"], ["end", *values], "__p")
-    same = F.col("__p.end").eqNullSafe(F.col("start"))
-    for v in values:
-        same = same & F.col(f"__p.{v}").eqNullSafe(F.col(v))
-    rows = running(rows.withColumn("__new", F.when(same, 0).otherwise(1)), ["contig"], ["start"], {"__run": ("sum", F.col("__new"))})
-    return rows.groupBy("contig", "__run").agg(F.min("start").alias("start"), F.max("end").alias("end"), *[F.first(v).alias(v) for v in values]).select("contig", "start", "end", *values)
+
+    def same(p: Column) -> Column:
+        on = p["end"].eqNullSafe(F.col("start"))
+        for v in values:
+            on = on & p[v].eqNullSafe(F.col(v))
+        return on
+
+    final = [F.min("start").alias("start"), F.max("end").alias("end"), *[F.first(v).alias(v) for v in values]]
+    rows = tiled(segments.select("contig", "start", "end", *values), F.col("start"), tile)
+    return runs(rows, ["contig"], ["start"], ["end", *values], same, final, final).select("contig", "start", "end", *values)
 
 
 def fill_gaps(blocks: DataFrame, tile: int = TILE) -> DataFrame:

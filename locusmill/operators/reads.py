@@ -82,10 +82,10 @@ def alternate_reads(steps: DataFrame, snps: DataFrame, min_ratio: float = 0.3, m
     """Reads that carry another haplotype: in some cluster of SNPs (at most `margin` apart) at least min_ratio of those the read covers mismatch with
     enough base quality. steps: read, contig, op, ref_start, ref_end, q; snps: contig, pos."""
     from locusmill.operators.intervals import overlap_join
-    from locusmill.operators.running import neighbour, running, tiled
+    from locusmill.operators.running import numbered, tiled
 
-    s = neighbour(tiled(snps.select("contig", "pos").distinct(), F.col("pos")), ["contig"], ["pos"], ["pos"], "__p")
-    s = running(s.withColumn("__new", F.when(F.col("pos") - F.col("__p.pos") <= margin, 0).otherwise(1)), ["contig"], ["pos"], {"cluster": ("sum", F.col("__new"))})
+    far = lambda p: ~F.coalesce(F.col("pos") - p["pos"] <= margin, F.lit(False))
+    s = numbered(tiled(snps.select("contig", "pos").distinct(), F.col("pos")), ["contig"], ["pos"], ["pos"], {"cluster": far})
     s = s.select("contig", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), "cluster")
     a = steps.where(F.col("op").isin("=", "X", "M")).select("read", "contig", "op", "q", F.col("ref_start").alias("start"), F.col("ref_end").alias("end"))
     hits = overlap_join(a, s).groupBy("read", "contig", "r_cluster").agg((F.count_if((F.col("op") == "X") & (F.col("q") >= min_q)) / F.count(F.lit(1))).alias("ratio"))

@@ -3,6 +3,10 @@
 The symbols of many distinct words lie in one flat array. A round looks every adjacent pair up by binary
 search over the sorted pair keys, takes each word's lowest rank and merges all its places in the word at once,
 from the left and without overlap. Words without a pair that has a rank are done.
+
+Long words would need a round for each rank that occurs in them. So words are first cut where no token of the vocabulary can lie across (two bytes
+that are no token, and with the byte before or after them in no token either), and pieces that stay long merge in one round every pair whose rank is the
+lowest as far around it as a token can reach: nothing beyond that can change what it is merged with.
 """
 
 from __future__ import annotations
@@ -37,11 +41,34 @@ def byte_letters() -> dict[int, str]:
     return letters
 
 
+#: What the rest of a vocabulary file has to say, as nothing else is done here.
+EXPECTED = {
+    "normalizer": (None,), "model.type": ("BPE",), "model.dropout": (None, 0.0), "model.unk_token": (None,), "model.continuing_subword_prefix": (None, ""), "model.end_of_word_suffix": (None, ""),
+    "model.byte_fallback": (None, False), "model.ignore_merges": (None, False), "pre_tokenizer.type": ("ByteLevel",), "pre_tokenizer.add_prefix_space": (False,), "pre_tokenizer.use_regex": (True, None), "decoder.type": ("ByteLevel",),
+}
+LONG = 512  # symbols of a piece that is merged by itself
+HELD_WORDS, HELD_BYTES = 250_000, 16 << 20  # words remembered in a worker
+
+
+def check(spec: dict) -> None:
+    """Raises ValueError where the file asks for what the code doesn't do, rather than encode wrongly."""
+    for path, fine in EXPECTED.items():
+        value = spec
+        for part in path.split("."):
+            value = value.get(part) if isinstance(value, dict) else None
+        if value not in fine:
+            raise ValueError(f"vocabulary file: {path} is {value!r}, expected one of {fine}")
+    for t in spec.get("added_tokens", []):
+        if t.get("single_word") or t.get("lstrip") or t.get("rstrip"):
+            raise ValueError(f"vocabulary file: added token {t['content']!r} has flags that are not supported")
+
+
 class Bpe:
     """A byte-level BPE vocabulary (the tokenizers library's JSON) as sorted arrays."""
 
     def __init__(self, spec: str):
         spec = json.loads(spec)
+        check(spec)
         vocab, letters = spec["model"]["vocab"], byte_letters()
         back = {c: b for b, c in letters.items()}
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -56,27 +83,107 @@ class Bpe:
         self.keys, self.ranks, self.made = keys[order][keep], order[keep].astype(np.int64), made[order][keep]
         said = [b""] * size
         for t, i in vocab.items():
-            said[i] = bytes(back[c] for c in t)
+            said[i] = bytes(back[c] for c in t if c in back) if i in set(self.added.values()) else bytes(back[c] for c in t)
         for t, i in self.added.items():
             said[i] = t.encode()
         self.said_len = np.array([len(x) for x in said], np.int64)
         self.said_at = np.cumsum(self.said_len) - self.said_len
         self.said = np.frombuffer(b"".join(said), np.uint8)
+        tokens = [said[i] for i in sorted(set(made.tolist()))]
+        self.token_bytes, self.token_len = np.frombuffer(b"".join(tokens), np.uint8), np.array([len(x) for x in tokens], np.int64)
+        self.token_at = np.cumsum(self.token_len) - self.token_len
+        self.two = np.zeros(1 << 16, bool)
+        self.two[[x[0] << 8 | x[1] for x in tokens if len(x) == 2]] = True
+        x = self.token_bytes.astype(np.int64)
+        inside = np.repeat(self.token_at + self.token_len, self.token_len) - np.arange(len(x)) >= 3
+        at = np.flatnonzero(inside)
+        three = np.zeros(1 << 24, np.uint8)
+        three[x[at] << 16 | x[np.minimum(at + 1, len(x) - 1)] << 8 | x[np.minimum(at + 2, len(x) - 1)]] = 1
+        self.three = np.packbits(three)
         self.split = regex.compile(SPLIT)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.held = 0
         self.flat, self.begin = np.empty(0, np.int32), np.zeros(1, np.int64)
 
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of pairs (NONE: no merge) and their places among the pair keys, found by binary search."""
+        key = left * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], NONE), at
+
+    def _pieces(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Where words, and parts of words across whose ends no token can lie, begin."""
+        new = np.zeros(len(data), bool)
+        new[starts] = True
+        if len(data) > 2:
+            x = data.astype(np.int64)
+            over = self.two[x[:-1] << 8 | x[1:]]
+            t = x[:-2] << 16 | x[1:-1] << 8 | x[2:]
+            three = (self.three[t >> 3] >> (7 - (t & 7))) & 1 > 0
+            over[1:] |= three
+            over[:-1] |= three
+            new[1:] |= ~over
+        return np.flatnonzero(new)
+
+    def _alone(self, sym: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """One long piece: in a round all pairs that have the lowest rank as far around them as a token of these bytes can reach."""
+        there = np.zeros(256, bool)
+        there[data] = True
+        own = np.logical_and.reduceat(there[self.token_bytes], self.token_at)
+        reach = int(self.token_len[own].max(initial=2))
+        rank, at = self._rank(sym[:-1], sym[1:])
+        while len(rank):
+            low = np.r_[np.full(reach, NONE), rank, np.full(reach, NONE)]
+            have, wide = 1, 2 * reach + 1
+            while have < wide:
+                step = min(have, wide - have)
+                low = np.minimum(low[: len(low) - step], low[step:])
+                have += step
+            hit = (rank == low) & (rank != NONE)
+            # pairs in a row with one rank overlap: they are merged, every second one from the left, when all of them are hit
+            first = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]])
+            size = np.diff(np.r_[first, len(rank)])
+            hit &= np.repeat(np.logical_and.reduceat(hit, first), size) & ((np.arange(len(rank)) - np.repeat(first, size)) % 2 == 0)
+            go = np.flatnonzero(hit)
+            if not len(go):
+                break
+            sym[go] = self.made[at[go]]
+            changed, stay = np.zeros(len(sym), bool), np.ones(len(sym), bool)
+            changed[go] = True
+            stay[go + 1] = False
+            old = np.flatnonzero(stay)
+            sym, changed = sym[old], changed[old]
+            rank, at = rank[old[:-1]], at[old[:-1]]
+            dirty = np.flatnonzero(changed[:-1] | changed[1:])
+            rank[dirty], at[dirty] = self._rank(sym[dirty], sym[dirty + 1])
+        return sym
+
     def merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all words one after another, and how many each has."""
         lens = np.array([len(w) for w in words], np.int64)
-        sym = self.first[np.frombuffer(b"".join(words), np.uint8)]
-        word = np.repeat(np.arange(len(words)), lens)
+        data = np.frombuffer(b"".join(words), np.uint8)
+        starts = np.cumsum(lens) - lens
+        piece = self._pieces(data, starts)
+        size = np.diff(np.r_[piece, len(data)])
+        of_word = np.searchsorted(starts, piece, "right") - 1
+        sym = self.first[data]
+        word = np.repeat(np.arange(len(piece)), size)
         done_sym, done_word = [], []
+        long = size > LONG
+        for i in np.flatnonzero(long):
+            made = self._alone(sym[piece[i] : piece[i] + size[i]].copy(), data[piece[i] : piece[i] + size[i]])
+            done_sym.append(made)
+            done_word.append(np.full(len(made), i))
+        if long.any():
+            short = ~long[word]
+            sym, word = sym[short], word[short]
         while len(sym) > 1:
-            key = np.where(word[:-1] == word[1:], sym[:-1] * self.size + sym[1:], -1)
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.where(self.keys[at] == key, self.ranks[at], NONE)
+            rank, at = self._rank(sym[:-1], sym[1:])
+            rank = np.where(word[:-1] == word[1:], rank, NONE)
             start = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             best = np.minimum.reduceat(np.r_[rank, NONE], start)
             spread = np.repeat(best, np.diff(np.r_[start, len(sym)]))
@@ -99,19 +206,21 @@ class Bpe:
         done_sym.append(sym)
         done_word.append(word)
         sym, word = np.concatenate(done_sym), np.concatenate(done_word)
-        return sym[np.argsort(word, kind="stable")].astype(np.int32), np.bincount(word, minlength=len(words))
+        return sym[np.argsort(word, kind="stable")].astype(np.int32), np.bincount(of_word[word], minlength=len(words))
 
     def _learn(self, new: list[str]) -> None:
-        flat, count = self.merged([w.encode() for w in new])
+        raw = [w.encode() for w in new]
+        flat, count = self.merged(raw)
+        self.held += sum(map(len, raw))
         base = len(self.known)
         self.known.update(zip(new, range(base, base + len(new))))
         self.flat = np.concatenate([self.flat, flat])
         self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(count)])
 
-    def words_of(self, texts: list[str], most_words: int = 250_000) -> tuple[np.ndarray, np.ndarray]:
+    def words_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the words (in self.known; -1 - id for an added token) of all texts, and how many each text has."""
-        if len(self.known) > most_words:
-            self.known, self.flat, self.begin = {}, np.empty(0, np.int32), np.zeros(1, np.int64)
+        if len(self.known) > HELD_WORDS or self.held > HELD_BYTES:
+            self.forget()
         found, special = [], []
         for t in texts:
             if self.cut and any(a in t for a in self.added):
@@ -224,7 +333,10 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", keep: list[str
 
 
 def token_lengths(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` and n_tokens of each whole text (null: 0)."""
+    """The columns `keep` and n_tokens of each whole text, however long (null and empty: 0).
+
+    One row for each input row, repeated ones too; an empty table gives none. A column n_tokens of the input gives way to the result; other
+    columns that aren't kept are not looked at, whatever their names."""
     keep = [c for c in (["doc_id"] if keep is None else keep) if c != "n_tokens"]
     spec = _spec(docs, path)
     src = docs.select(*[docs[c] for c in keep], docs[text].cast("string").alias("__text"))

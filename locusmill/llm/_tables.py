@@ -6,15 +6,37 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Largest table that is broadcast, as bytes of its Parquet files.
+BROADCAST_BYTES = 4 << 20
+
+_marked: set[str] = set()
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (local tests), a temporary one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """This application's part of the folder named by spark.checkpoint.dir; it is deleted when the driver ends.
+
+    Where the setting is missing a temporary folder will do for a local master; on a cluster that is an error."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="locusmill-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found}/locusmill-{spark.sparkContext.applicationId}"
+    own = f"{found}/locusmill-{context.applicationId}"
+    if own not in _marked:
+        p, fs = _path(spark, own)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _marked.add(own)
+    return own
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -30,8 +52,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def dropped(*tables: DataFrame) -> None:
     """Delete tables that written() made and that nothing reads any more."""
     for df in tables:
-        path = getattr(df, "_locusmill_path", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        if path := getattr(df, "_locusmill_path", None):
+            p, fs = _path(df.sparkSession, path)
+            fs.delete(p, True)
+
+
+def small(table: DataFrame, part: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """A table that written() made (or a part of its columns), to be broadcast if its files are few enough bytes; else the join stays Spark's choice."""
+    p, fs = _path(table.sparkSession, table._locusmill_path)
+    part = table if part is None else part
+    return F.broadcast(part) if fs.getContentSummary(p).getLength() <= (BROADCAST_BYTES if most is None else most) else part

@@ -4,11 +4,13 @@ The metric space is that of shingle sets. Two kinds of pivots cut it into region
 
 1. Single shingles. All shingles have one global order (rare ones first, by a counting sketch over all documents). A set
    within the radius of another must share with it one of its first n - ceil(0.8 n) + 1 shingles, so each of those is a
-   pivot into whose region the document is copied; documents that share no such pivot can't be linked.
+   pivot into whose region the document is copied; documents that share no such pivot can't be linked. Documents without a common shingle are at
+   distance 1 from each other, so pivots that are documents would have all others at one distance and part nothing at this level.
 2. Documents. Inside a region, sets are compared by parity bitmaps: the bits in which two differ are never more than
-   the shingles in which the sets differ, and that count is a metric. Large regions are cut into Voronoi cells around
-   pivot documents; a document goes to every cell whose pivot is at most twice the radius further than its nearest one
-   (triangle inequality), and cells are joined in the same way until they are small. No link can be lost.
+   the shingles in which the sets differ, and that count is a metric. A region is cut into Voronoi cells around
+   documents that lie far apart. A document is also copied to each cell that it is near enough to by the triangle inequality: at most twice the
+   radius further from its pivot than from its own one, and at most the radius further than any document of the cell. Cells are joined in
+   the same way until they are small or pivots part them no more. No link can be lost: one of a pair's two documents is at home in a cell to which the other is copied.
 
 Whatever the bitmaps leave is verified on the shingle sets themselves. Documents with equal sets are one node. Near copies of
 one document are linked to a pivot document first (same minhash, verified); pairs that those links join already
@@ -17,6 +19,7 @@ are not looked at again, so a group of n copies costs about n pairs, not n * n.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,20 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusmill.llm._tables import dropped, written
+from locusmill.llm._tables import dropped, small, written
 from locusmill.llm._words import U, lean, mix, pieces, shingle_sets
 from locusmill.llm.components import connected_components
 
 SKETCH_BITS, SKETCH_CHUNK = 20, 1 << 14
 MINHASHES = 6
-CELL = 512  # documents compared with each other at once
+CELL = 8  # documents of a region that aren't cut any further
+PIVOTS = 8
 REGION = 8192  # documents of a region in one task; larger regions go out as pairs of blocks
-BROADCAST_ROWS = 1_000_000  # about 32 MB
-
-
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df, to be broadcast if its counted rows are few enough; else the join stays a shuffled one."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def _need(n, percent: int):
@@ -95,7 +93,8 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
 
 def _features(docs: DataFrame, text: str, k: int, percent: int, levels: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(levels)
-    src = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
+    value = docs[text].cast("string")
+    src = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(value).alias("dg"), value.alias("text"))
     seeds = [U(0x9E3779B97F4A7C15 * (2 * j + 1) % (1 << 64)) for j in range(MINHASHES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,11 +115,11 @@ def _features(docs: DataFrame, text: str, k: int, percent: int, levels: np.ndarr
                     first.append(s[order].tobytes())
                     bits.append(parity_bits(s).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(mins, pa.list_(pa.int64())), pa.array(first, pa.binary()), pa.array(bits, pa.binary())],
-                    names=["doc_id", "n", "h1", "h2", "mins", "first", "bits"],
+                    [part.column("doc_id"), part.column("dg"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(mins, pa.list_(pa.int64())), pa.array(first, pa.binary()), pa.array(bits, pa.binary())],
+                    names=["doc_id", "dg", "n", "h1", "h2", "mins", "first", "bits"],
                 )
 
-    rows = src.mapInArrow(lean(run), "doc_id long, n long, h1 long, h2 long, mins array<long>, first binary, bits binary")
+    rows = src.mapInArrow(lean(run), "doc_id long, dg long, n long, h1 long, h2 long, mins array<long>, first binary, bits binary")
     return written(rows.withColumn("row", F.monotonically_increasing_id()), "sets")
 
 
@@ -128,23 +127,28 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str, k:
     """Those pairs (a, b: rows of sets) whose shingle sets have the overlap asked for.
 
     Each text in a pair is read once, and its set goes to the groups of `group` pairs in which it is compared: all pairs of one b meet there
-    with b's set, which is repeated for each further group. What is moved is about one set for each pair."""
+    with b's set, which is repeated for each further group. What is moved is about one set for each pair. Texts are found by doc_id and a
+    digest, so rows that share an id, or have none, don't meet; of equal rows a task passes on the first."""
     pairs = pairs.where("a IS NOT NULL AND b IS NOT NULL")
     groups = pairs.groupBy(F.col("b").alias("g")).agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("salts"))
     left = pairs.join(groups, F.col("b") == F.col("g")).select(F.col("a").alias("row"), F.struct("g", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("side")).alias("t"))
     right = groups.select(F.col("g").alias("row"), F.explode(F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda i: F.struct(F.col("g"), i.alias("salt"), F.lit(0).alias("side")))).alias("t"))
     targets = left.union(right).groupBy("row").agg(F.collect_list("t").alias("t"))
-    wanted = written(targets.join(sets.select("row", "doc_id", "h1", "h2"), "row").select("row", "doc_id", "h1", "h2", F.col("t.g").alias("g"), F.col("t.salt").alias("salt"), F.col("t.side").alias("side")), "wanted")
-    src = docs.select(docs["doc_id"].cast("long").alias("__id"), docs[text].cast("string").alias("text"))
-    found = src.join(small(wanted), F.col("__id").eqNullSafe(F.col("doc_id"))).select("row", "h1", "h2", "g", "salt", "side", "text")
+    wanted = written(targets.join(sets.select("row", "doc_id", "dg", "h1", "h2"), "row").select("row", "doc_id", "dg", "h1", "h2", F.col("t.g").alias("g"), F.col("t.salt").alias("salt"), F.col("t.side").alias("side")), "wanted")
+    value = docs[text].cast("string")
+    src = docs.select(docs["doc_id"].cast("long").alias("__id"), F.xxhash64(value).alias("__dg"), value.alias("text"))
+    found = src.join(small(wanted), F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__dg") == F.col("dg"))).select("row", "h1", "h2", "g", "salt", "side", "text")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows that share an id, those whose text is the one meant."""
+        seen: set[int] = set()
         for batch in batches:
             for part in pieces(batch, "text", 1 << 20):
                 out: list[list] = [[], [], [], [], []]
                 cols = [part.column(c).to_pylist() for c in ("row", "h1", "h2", "g", "salt", "side")]
                 for r, a, b, g, salt, side, s in zip(*cols, shingle_sets(part.column("text"), k)):
+                    if r in seen:
+                        continue
+                    seen.add(r)
                     t = mix(s.copy())
                     if len(s) and int(t.sum(dtype=U).view(np.int64)) == a and int(np.bitwise_xor.reduce(mix(t + U(1))).view(np.int64)) == b:
                         blob = s.tobytes()
@@ -218,7 +222,7 @@ def _common(nx, ny, percent: int):
 
 
 def _members(regions: DataFrame, percent: int, hold: int = 200_000, pairs_of: int = 64) -> DataFrame:
-    """s, row, label, pos: nodes of regions in which they can meet another one of a different label for the first time.
+    """s, row, label, pos, n: nodes of regions in which they can meet another one of a different label for the first time.
 
     If s is the first common shingle of two sets, they have no more in common than what follows it in either order; so sizes and places of s
     tell most pairs apart. In regions of up to `pairs_of` nodes each pair is looked at, in larger ones sizes alone. Rows come sorted by
@@ -252,7 +256,7 @@ def _members(regions: DataFrame, percent: int, hold: int = 200_000, pairs_of: in
             keep &= ~few
             for k in np.unique(size[(size > 1) & (size <= pairs_of)]):
                 keep |= keep_small(s, label, n, pos, begin[size == k], int(k))
-        return pa.RecordBatch.from_arrays([pa.array(s[keep]), pa.array(row[keep]), pa.array(label[keep]), pa.array(pos[keep].astype(np.int32))], names=["s", "row", "label", "pos"])
+        return pa.RecordBatch.from_arrays([pa.array(s[keep]), pa.array(row[keep]), pa.array(label[keep]), pa.array(pos[keep].astype(np.int32)), pa.array(n[keep].astype(np.int32))], names=["s", "row", "label", "pos", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, split = None, None
@@ -280,24 +284,31 @@ def _members(regions: DataFrame, percent: int, hold: int = 200_000, pairs_of: in
         if held is not None and len(held[0]):
             yield emit(*held, bool(split is None or held[0][0] != split))
 
-    return regions.repartition(F.col("s")).sortWithinPartitions("s").mapInArrow(lean(run), "s long, row long, label long, pos int")
+    return regions.repartition(F.col("s")).sortWithinPartitions("s").mapInArrow(lean(run), "s long, row long, label long, pos int, n int")
 
 
-def close_pairs(bits: list[np.ndarray], n: np.ndarray, label: np.ndarray, percent: int, pos: np.ndarray | None = None, cell: int = CELL) -> tuple[np.ndarray, np.ndarray]:
+def close_pairs(bits: list[np.ndarray], n: np.ndarray, label: np.ndarray, percent: int, pos: np.ndarray | None = None, cell: int | None = None, told: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
     """All pairs (i, j) with different labels that bitmaps and sizes don't rule out, and by how far: recursive Voronoi cells with triangle windows.
 
     Sets within the radius differ in at most (100 - percent) / (100 + percent) * (n_i + n_j) shingles, and bitmaps in no more bits.
     pos: places of the region's shingle in their orders; pairs for which it can't be the first common one are left to another region.
-    Bitmaps are compared in tiles of half a million words, however many documents there are."""
+    Bitmaps are compared in tiles of half a million words, however many documents there are. told: counts of cells cut, of documents copied to
+    cells, of pairs compared, and of pairs that would be compared without cells."""
     share = (100 - percent) / (100 + percent)
+    cell = CELL if cell is None else cell
     found: list[np.ndarray] = []
     spare: list[np.ndarray] = []
+    told = {} if told is None else told
+    radius = share * (1 + 100 / percent) * n  # of a document: its partner is at most 100 / percent times as large
+
+    def count(name: str, by: int) -> None:
+        told[name] = told.get(name, 0) + int(by)
 
     def stacked(at: np.ndarray, words: int) -> np.ndarray:
         return np.stack([folded(bits[i], words) for i in at])
 
-    def direct(at: np.ndarray) -> None:
-        """at: in order of size."""
+    def direct(at: np.ndarray, home: np.ndarray) -> None:
+        """at: in order of size; pairs of which one document at least is at home."""
         size, own = n[at], label[at]
         if (own == own[0]).all():
             return
@@ -311,7 +322,8 @@ def close_pairs(bits: list[np.ndarray], n: np.ndarray, label: np.ndarray, percen
                 d = min(end, c + step)
                 differ = np.bitwise_count(left[:, None, :] ^ stacked(at[c:d], words)[None]).sum(axis=2, dtype=np.int64)
                 x, y = size[a:b][:, None], size[c:d][None]
-                ok = (differ <= share * (x + y) + 1e-9) & (own[a:b][:, None] != own[c:d][None]) & (100 * x >= percent * y) & (np.arange(a, b)[:, None] < np.arange(c, d)[None])
+                ok = (differ <= share * (x + y) + 1e-9) & (own[a:b][:, None] != own[c:d][None]) & (100 * x >= percent * y) & (np.arange(a, b)[:, None] < np.arange(c, d)[None]) & (home[a:b][:, None] | home[c:d][None])
+                count("compared", (b - a) * (d - c))
                 if pos is not None:
                     ok &= _common(x, y, percent) <= np.minimum(x - pos[at[a:b]][:, None], y - pos[at[c:d]][None])
                 i, j = np.nonzero(ok)
@@ -320,25 +332,39 @@ def close_pairs(bits: list[np.ndarray], n: np.ndarray, label: np.ndarray, percen
                     spare.append((share * (x + y) - differ)[i, j])
             a = b
 
-    def cut(at: np.ndarray, depth: int) -> None:
-        if len(at) <= cell or (label[at] == label[at[0]]).all():
-            return direct(at)
+    def cut(at: np.ndarray, home: np.ndarray, depth: int) -> None:
+        if len(at) <= cell or depth > 16 or (label[at] == label[at[0]]).all():
+            return direct(at, home)
         words = min(len(bits[i]) for i in at)
         top = stacked(at, words)
-        pivots = np.linspace(0, len(at) - 1, 8).astype(int)
-        far = np.stack([np.bitwise_count(top ^ top[p]).sum(axis=1, dtype=np.int64) for p in pivots], 1)
-        radius = share * 2 * n[at].max()
-        inside = far - far.min(axis=1, keepdims=True) <= 2 * radius
-        if depth > 8 or inside.sum() > 3 * len(at) or inside.sum(axis=0).max() > 0.9 * len(at):  # pivots don't separate here
-            return direct(at)
-        for p in range(len(pivots)):
-            cut(at[inside[:, p]], depth + 1)
+        far = np.empty((len(at), 0), np.int64)
+        pivot = len(at) // 2
+        while far.shape[1] < PIVOTS:  # each next pivot is the document that is furthest from all pivots so far
+            far = np.c_[far, np.bitwise_count(top ^ top[pivot]).sum(axis=1, dtype=np.int64)]
+            nearest = far.min(axis=1)
+            pivot = int(nearest.argmax())
+            if nearest[pivot] <= radius[at[pivot]] / 2:
+                break
+        own, pivots = far.argmin(axis=1), range(far.shape[1])
+        reach = np.array([far[own == p, p].max(initial=-1) for p in pivots])
+        r = radius[at][:, None] + 1e-9
+        inside = (far <= reach[None] + r) & (far - nearest[:, None] <= 2 * r)
+        homes = np.array([(home & (own == p)).sum() for p in pivots])
+        if (homes * inside.sum(axis=0)).sum() > 0.75 * home.sum() * len(at):  # pivots don't part these
+            return direct(at, home)
+        count("cells", (homes > 0).sum())
+        count("copied", inside.sum() - len(at))
+        for p in pivots:
+            if homes[p]:
+                there = inside[:, p]
+                cut(at[there], (home & (own == p))[there], depth + 1)
 
     order = np.argsort(n, kind="stable")  # sizes further apart than the radius never meet
     gap = np.flatnonzero(np.r_[True, 100 * n[order][:-1] < percent * n[order][1:]])
     for a, b in zip(gap, np.r_[gap[1:], len(order)]):
         if b - a > 1:
-            cut(order[a:b], 0)
+            count("pairs", (b - a) * (b - a - 1) // 2)
+            cut(order[a:b], np.ones(b - a, bool), 0)
     if not found:
         return np.empty((0, 2), np.int64), np.empty(0)
     pairs, first = np.unique(np.sort(np.concatenate(found), axis=1), axis=0, return_index=True)
@@ -378,10 +404,16 @@ def forest(pairs: np.ndarray, spare: np.ndarray, label: np.ndarray, times: int =
 def _candidates(members: DataFrame, sets: DataFrame, percent: int, trees: bool) -> DataFrame:
     """Pairs (a, b) of nodes of different labels that a region's bitmaps leave; trees: of each region only pairs that join its labels to trees, and
     for regions with more than those a row with their s and no pair."""
-    big = members.groupBy("s").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > REGION).select(F.col("s").alias("bs"), F.ceil(F.col("m") / REGION).cast("int").alias("blocks"))
-    put = members.join(big, F.col("s") == F.col("bs"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    put = put.withColumn("own", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    put = put.select("s", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "row", "label", "pos")
+    # sizes of two that link are in one or two neighbouring buckets; a bucket of more than REGION documents goes out in blocks
+    bucket = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
+    sized = members.withColumn("k", bucket)
+    counts = sized.groupBy("s", "k").agg(F.count(F.lit(1)).alias("m"))
+    big = counts.groupBy(F.col("s").alias("bs")).agg(F.sum("m").alias("m"), F.map_from_entries(F.collect_list(F.struct("k", F.ceil(F.col("m") / REGION).cast("int")))).alias("blocks")).where(F.col("m") > REGION).select("bs", "blocks")
+    code = lambda k, j: (k.cast("long") * (1 << 32) + j).alias("c")
+    there = lambda d: F.when(F.coalesce(F.try_element_at("blocks", F.col("k") + d), F.lit(0)) > 0, F.transform(F.sequence(F.lit(0), F.try_element_at("blocks", F.col("k") + d) - 1), lambda j: code(F.col("k") + d, j))).otherwise(F.array().cast("array<long>"))
+    put = sized.join(big, F.col("s") == F.col("bs"), "left").withColumn("own", code(F.col("k"), F.pmod(F.xxhash64("row"), F.try_element_at("blocks", F.col("k"))).cast("int")))
+    put = put.withColumn("other", F.explode(F.when(F.col("bs").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.concat(there(-1), there(0), there(1)))))
+    put = put.withColumn("own", F.coalesce("own", F.lit(0).cast("long"))).select("s", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "row", "label", "pos")
     full = put.join(sets.select("row", "n", "bits"), "row").select("s", "x", "y", "row", "label", "pos", "n", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -429,39 +461,60 @@ def near_duplicates(docs: DataFrame, text: str = "text", k: int = 5, percent: in
     Two documents link when 100 * common >= percent * united shingles. With fewer than k words the whole sequence is one shingle;
     a text that is null, empty or blank has none and is linked with nothing, its component is its own doc_id. Rows with equal
     shingle sets (repeated rows too) link. A null doc_id stays null and counts for a component only if there's no other.
-    Shingles are 64-bit hashes. Other columns of docs are not touched.
+    Shingles are 64-bit hashes; very long texts are read whole. Other columns of docs are not looked at, whatever their names. An empty table gives no rows.
     """
     sets = _features(docs, text, k, percent, sketch_levels(docs, text, k))
     some = sets.where("n > 0")
     classes = some.groupBy("h1", "h2").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("m")).where("m > 1").select("h1", "h2", "node")
     classes = written(classes, "classes")  # as a table of its own, so that the join can be broadcast or split
     copies = written(some.select("row", "h1", "h2").join(small(classes), ["h1", "h2"]).where("row <> node").select("row", "node"), "copies")
-    narrow = some.select("row", "mins").join(small(copies.select("row")), "row", "left_anti")
-    exploded = narrow.select("row", F.posexplode("mins").alias("j", "h"))
+    doubles = small(copies, copies.select("row"))
+    exploded = some.select("row", "mins").join(doubles, "row", "left_anti").select("row", F.posexplode("mins").alias("j", "h"))
     pivots = exploded.groupBy("j", "h").agg(F.min("row").alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1").select("j", "h", "pivot")
     pivots = written(pivots, "pivots")
     stars = written(exploded.join(small(pivots), ["j", "h"]).where("row <> pivot").select(F.col("row").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
     star_links = _verified(stars, sets, docs, text, k, percent)
-    labels = written(connected_components(star_links), "labels")
-    nodes = some.select("row", "n", "first").join(small(copies.select("row")), "row", "left_anti")
+    trees = connected_components(star_links)
+    labels = written(trees, "labels")
+    nodes = some.select("row", "n", "first").join(doubles, "row", "left_anti")
     nodes = nodes.join(small(labels), nodes["row"] == labels["node"], "left").select("row", F.coalesce("label", "row").alias("label"), "n", "first")
     members = written(_members(_region_rows(nodes), percent), "members")
     some_pairs = _candidates(members, sets, percent, trees=True)
     links = _verified(some_pairs.select("a", "b"), sets, docs, text, k, percent)
+    dropped(classes, pivots, stars, trees, labels)
     every = copies.select(F.col("row").alias("a"), F.col("node").alias("b")).union(star_links).union(links)
+    gone = [copies, star_links, links, members, some_pairs, sets]
     # regions where trees may have left a link out: all other pairs of what is still apart
-    rest = some_pairs.where("s IS NOT NULL").select("s").distinct()
+    rest = written(some_pairs.where("s IS NOT NULL").select("s").distinct(), "rest")
     if rest.limit(1).count():
-        now = written(connected_components(star_links.union(links)), "labels")
-        left = members.drop("label").join(small(rest), "s", "left_semi").join(small(now), F.col("row") == F.col("node"), "left").select("s", "row", F.coalesce("label", "row").alias("label"), "pos")
-        apart = left.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("s")
-        all_pairs = _candidates(left.join(apart, "s", "left_semi"), sets, percent, trees=False)
+        trees = connected_components(star_links.union(links))
+        now = written(trees, "labels")
+        left = members.drop("label").join(small(rest), "s", "left_semi").join(small(now), F.col("row") == F.col("node"), "left").select("s", "row", F.coalesce("label", "row").alias("label"), "pos", "n")
+        apart = written(left.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("s"), "apart")
+        all_pairs = _candidates(left.join(small(apart), "s", "left_semi"), sets, percent, trees=False)
         untried = all_pairs.select("a", "b").join(some_pairs.select("a", "b"), ["a", "b"], "left_anti")
-        every = every.union(_verified(untried, sets, docs, text, k, percent))
-        dropped(all_pairs)
+        more = _verified(untried, sets, docs, text, k, percent)
+        every = every.union(more)
+        dropped(all_pairs, trees, now, apart)
+        gone.append(more)
     parts = connected_components(every)
     known = sets.select("row", "doc_id", "n").join(parts, F.col("row") == F.col("node"), "left").select("row", "doc_id", "n", "label")
     known = written(known, "components")
     least = known.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
-    dropped(classes, pivots, stars, members, some_pairs, sets, copies)
+    dropped(rest, parts, *gone)
     return known.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_sort(list_distinct(list_transform(range(0, len(w) - 4), lambda a: array_to_string(w[a + 1:a + 5], ' ')))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END AS s FROM d),
+h AS (SELECT doc_id, len(s) AS n, md5(array_to_string(s, chr(10))) AS h, s FROM s),
+c AS (SELECT h, min(doc_id) AS node, any_value(s) AS s, any_value(n) AS n FROM h WHERE n > 0 GROUP BY h),
+e AS (SELECT node, n, unnest(s) AS t FROM c),
+p AS (SELECT a.node AS x, b.node AS y, a.n AS nx, b.n AS ny, count(*) AS both_ FROM e a JOIN e b ON a.t = b.t AND a.node < b.node GROUP BY ALL),
+l AS (SELECT x, y FROM p WHERE 100 * both_ >= 80 * (nx + ny - both_)),
+l2 AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(node, label) AS (SELECT node, node FROM c UNION SELECT l2.y, r.label FROM r JOIN l2 ON l2.x = r.node),
+k AS (SELECT node, min(label) AS label FROM r GROUP BY node)
+SELECT h.doc_id, h.n::BIGINT AS n_shingles, coalesce(k.label, h.doc_id) AS component_id FROM h LEFT JOIN c ON h.h = c.h AND h.n > 0 LEFT JOIN k ON k.node = c.node
+"""

@@ -75,4 +75,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLES: dict[str, str] = {"op4_chat_formatting": chat.SQL, "op7_exact_topk": topk.SQL, "op9_mixing": mixing.targets_sql()}
+ORACLES: dict[str, str] = {"op2_suffix_dedup": suffix.SQL, "op4_chat_formatting": chat.SQL, "op7_exact_topk": topk.SQL, "op9_mixing": mixing.targets_sql(), "op10_jaccard_join": jaccard.SQL}

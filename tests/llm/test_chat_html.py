@@ -36,11 +36,80 @@ PAGE = """<!doctype html><html><head><title>T</title><style>p{{}}</style><script
 
 
 def test_article_only():
-    assert html.main_text(PAGE.format(more=""), set()) == "A & B One two three four Five six q"
-    assert html.main_text("", set()) == "" and html.main_text("plain  text <b", set()).startswith("plain text")
-    assert html.main_text("<p>a<p>b<ul><li>c<li>d</ul><table><tr><td>e<td>f</table>", set()) == "a b c d e f"
-    assert html.main_text("<div style='display: none'>x</div><p hidden>y</p><p>z</p><script>", set()) == "z"
-    assert html.main_text("<p>" + "word " * 100000 + "</p>", set()) == " ".join(["word"] * 100000)
+    assert html.main_text(PAGE.format(more="")) == "A & B One two three four Five six q"
+    assert html.main_text("") == "" and html.main_text("plain  text <b").startswith("plain text")
+    assert html.main_text("<p>a<p>b<ul><li>c<li>d</ul><table><tr><td>e<td>f</table>") == "a b c d e f"
+    assert html.main_text("<div style='display: none'>x</div><p hidden>y</p><p>z</p><script>") == "z"
+    assert html.main_text("<p>" + "word " * 100000 + "</p>") == " ".join(["word"] * 100000)
+    assert html.main_text("<div>" * 5000 + "deep" + "</div>" * 5000 + "<p>after") == "deep after"
+    assert html.main_text("<article><p>a <svg>b<p>c <noscript>d<template>e</article>") == "a b c de"
+    assert html.main_text("<article>x <math><mi>y</mi> = <mn>2</mn></math> <object>z</object><noscript>js</noscript></article>") == "x y = 2 z"
+
+
+def composed_by_hand(pages):
+    """Importance of each node of one host's tree as the docstring says, by recursion over the pages that have the node."""
+    import math
+
+    def label(p, c):
+        return p.label[c] if c >= 0 else "#"
+
+    def style(p, e):
+        kids = p.children[e]
+        return None if len(kids) == 1 and kids[0] < 0 else tuple(label(p, c) for c in kids)
+
+    def importance(at, path):  # at: (page, element, or the text of a leaf)
+        m = len(at)
+        texts = [x if isinstance(x, str) else p.blocks[-1 - p.children[x][0]][1] if style(p, x) is None else None for p, x in at]
+        if m < html.LEAST_PAGES:
+            return 1.0, True
+        if texts[0] is not None:
+            seen = [set(html.SENTENCE.split(t)) for t in texts]
+            every = set().union(*seen)
+            value = 1 - sum(math.log(sum(f in s for s in seen)) for f in every) / (len(every) * math.log(m))
+            out[path] = round(value, 9)
+            return out[path], out[path] >= html.LOW
+        by = {}
+        for p, e in at:
+            by.setdefault(style(p, e), []).append((p, e))
+        entropy = -sum(len(v) / m * math.log(len(v) / m) for v in by.values()) / math.log(m)
+        inner, high = 0.0, False
+        for s, some in by.items():
+            for place in range(len(s)):
+                kids = [(p, c if (c := p.children[e][place]) >= 0 else p.blocks[-1 - c][1]) for p, e in some]
+                v, h = importance(kids, (*path, s, place))
+                inner += len(some) / m * v / len(s)
+                high |= h
+        part = html.GAMMA ** len(by)
+        out[path] = round((1 - part) * entropy + part * inner, 9)
+        return out[path], high or out[path] >= html.LOW
+
+    out = {}
+    importance([(p, 0) for p in pages], ())
+    return out
+
+
+def test_tree_against_recursion(spark):
+    import random
+
+    rng = random.Random(2)
+    top = ["<nav><a>Home</a><p>News</p></nav>", "<nav><p>Home</p><p>{i}</p></nav>"]
+    pages = [f"<body>{rng.choice(top).format(i=i % 3)}<div class=c{i}><h1>Title {i}.</h1>{'<p>Said before. New {}.</p>'.format(i) * rng.choice([1, 1, 1, 2])}</div><footer>All the same. No {i % 2}.</footer></body>" for i in range(24)]
+    tree = html.site_tree(spark.createDataFrame([(f"http://a.example/{i}", p) for i, p in enumerate(pages)], "url string, html string")).collect()
+    want = composed_by_hand([html.Page(p) for p in pages])
+    assert sorted(round(r.importance, 6) for r in tree) == sorted(round(x, 6) for x in want.values())
+    low = html.site_tree(spark.createDataFrame([(f"http://a.example/{i}", p) for i, p in enumerate(pages)], "url string, html string"), most=1).collect()
+    assert {r.key for r in low} <= {r.key for r in tree}
+
+
+def test_large_hosts_lose_the_same_blocks(spark, monkeypatch):
+    data = [(i, f"http://a.example/{i}", f"<body><div class=top><p>Same for all</p><p>Here too</p></div><div class=k><p>Story {i} of many</p></div></body>") for i in range(9)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    want = {i: f"Story {i} of many" for i in range(9)}
+    assert {r.page_id: r.text for r in html.extract(df).collect()} == want
+    assert {r.page_id: r.text for r in html.extract(df, most_nodes=0).collect()} == want
+    whole = html.site_tree
+    monkeypatch.setattr(html, "site_tree", lambda *a: whole(*a, most=1))
+    assert {r.page_id: r.text for r in html.extract(df).collect()} == want
 
 
 def test_template_goes_by_its_importance(spark):

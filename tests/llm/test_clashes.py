@@ -36,6 +36,6 @@ def test_turns_and_pages(spark):
     more = crowded(t, ["pair_id", "chosen", "rejected", "prompt", "n_prefix", "__t"])
     assert rows(chat.preference_pairs(more, chat.consecutive_pairs(more))) == rows(chat.preference_pairs(t, chat.consecutive_pairs(t)))
     p = spark.createDataFrame([(1, "http://a/", "<p>x</p>")], "page_id long, url string, html string")
-    more = crowded(p, ["text", "n_chars", "host", "path", "__low"])
+    more = crowded(p, ["text", "n_chars", "host", "path", "key", "dg", "n"])
     assert rows(html.extract(more)) == rows(html.extract(p)) == [(1, "http://a/", "x", 1)]
     assert html.extract(more, keep=["page_id", "text"]).columns == ["page_id", "text", "n_chars"]

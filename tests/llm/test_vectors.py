@@ -38,7 +38,7 @@ def test_exact(spark):
     d = data()
     want = sorted(x for r in brute(d, 5, 10, whole).values() for x in r)
     assert rows(topk.top_k(frame(spark, d), every=10)) == want
-    assert rows(topk.top_k(frame(spark, d), every=10, shard=64, block=16)) == want
+    assert rows(topk.top_k(frame(spark, d), every=10, shard=64)) == want
     big = [(i, [1e30 * (i + 1), 1.0]) for i in range(8)]
     assert all(r.score == (1 << 63) - 1 for r in topk.top_k(frame(spark, big), every=4).collect())
     assert topk.top_k(frame(spark, []), every=4).count() == 0
@@ -56,7 +56,7 @@ def test_recall_and_ties(spark):
     d = data(3000, 24, 1)
     inner = lambda q, v: sum(float(a) * float(b) for a, b in zip(q, v))
     exact = brute(d, 20, 60, inner, zero=False)
-    for options in ({}, {"shard": 700, "block": 20}):
+    for options in ({}, {"shard": 700}):
         got = {}
         for r in ann.nearest(frame(spark, d), every=60, **options).collect():
             got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))

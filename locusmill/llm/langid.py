@@ -75,14 +75,17 @@ class Model:
         self.langs, self.log_prob, self.prior = langs, log_prob, prior
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", smooth: float = 0.1) -> Model:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", smooth: float = 0.1, most: int = 512) -> Model:
     """Learn from every row of docs whose text and lang are not null: no sample, so no bound on rows.
 
     Each task adds its texts up to one array a language; arrays are cut into chunks and summed as a stream by
     (language, chunk), so neither a frequent language nor many tasks fill one task's memory. What the driver gets is
-    the matrix: 128 KB for each distinct lang.
+    the matrix: 128 KB for each distinct lang, of which there may be `most` (64 MB); beyond that, which isn't a list of languages any more, a ValueError is raised.
+    Texts are read whole; a table without labelled rows gives a model that has learned nothing. Repeated rows count as often as they are there.
     """
     src = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+    if src.select("lang").distinct().limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} languages to learn")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

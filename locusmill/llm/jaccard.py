@@ -7,8 +7,8 @@ The metric space is that of shingle sets. Two kinds of pivots cut it into region
    pivot into whose region the document is copied; documents that share no such pivot can't be linked. Documents without a common shingle are at
    distance 1 from each other, so pivots that are documents would have all others at one distance and part nothing at this level.
 2. Documents. Inside a region, sets are compared by parity bitmaps: the bits in which two differ are never more than
-   the shingles in which the sets differ, and that count is a metric. A region is cut into Voronoi cells around
-   documents that lie far apart. A document is also copied to each cell that it is near enough to by the triangle inequality: at most twice the
+   the shingles in which the sets differ, and that count is a metric. The empty set is the first pivot: its shells are sizes. A shell is cut into
+   Voronoi cells around documents that lie far apart. A document is also copied to each cell that it is near enough to by the triangle inequality: at most twice the
    radius further from its pivot than from its own one, and at most the radius further than any document of the cell. Cells are joined in
    the same way until they are small or pivots part them no more. No link can be lost: one of a pair's two documents is at home in a cell to which the other is copied.
 
@@ -362,9 +362,17 @@ def close_pairs(bits: list[np.ndarray], n: np.ndarray, label: np.ndarray, percen
     order = np.argsort(n, kind="stable")  # sizes further apart than the radius never meet
     gap = np.flatnonzero(np.r_[True, 100 * n[order][:-1] < percent * n[order][1:]])
     for a, b in zip(gap, np.r_[gap[1:], len(order)]):
-        if b - a > 1:
-            count("pairs", (b - a) * (b - a - 1) // 2)
-            cut(order[a:b], np.ones(b - a, bool), 0)
+        if b - a < 2:
+            continue
+        count("pairs", (b - a) * (b - a - 1) // 2)
+        at, size = order[a:b], n[order[a:b]]
+        low = 0
+        while low < len(at):  # shells around the empty set: the smaller one of a pair is at home, its partner may be in the next shell
+            high = int(np.searchsorted(size, 2 * size[low], "left"))
+            end = int(np.searchsorted(size, size[high - 1] * 100 // percent, "right"))
+            if end - low > 1:
+                cut(at[low:end], np.arange(low, end) < high, 0)
+            low = high
     if not found:
         return np.empty((0, 2), np.int64), np.empty(0)
     pairs, first = np.unique(np.sort(np.concatenate(found), axis=1), axis=0, return_index=True)

@@ -1,19 +1,25 @@
 """Exact top-k inner products: vectors by descending length, SVD-rotated partial sums, Cauchy-Schwarz bounds on the rest.
 
-A shard of candidates is sorted by length and rotated into the basis of its own singular vectors, where the first few
-coordinates carry most of an inner product. Block by block, from the longest vectors down, a candidate's exact
+Shards are ranges of length, the longest vectors first. Each is prepared once: sorted by length and rotated into the basis of its own
+singular vectors, where the first few coordinates carry most of an inner product. Queries meet the longest vectors first and take
+their k-th best score from there to all other shards. Block by block, from the longest vectors down, a candidate's exact
 product is only computed if the partial sum plus |rest of query| * |rest of candidate| can still reach the query's
 k-th best; a query ends when |query| * |candidate| can't.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusmill.llm.vectors import QUERIES, SHARD, best, dealt, matrix, queries_of, ranked, sharded, valid
+from locusmill.llm._tables import dropped, written
+from locusmill.llm._words import lean
+from locusmill.llm.vectors import SHARD, beside, best, by_shard, matrix, queries_of, ranked, to_shards, valid
 
 EXACT = float(1 << 53)
 
@@ -22,82 +28,125 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row inner products of integers held as doubles, as int64; beyond 2^53 in Python integers, held to the range of long."""
     if not len(a):
         return np.empty(0, np.int64)
-    if np.abs(a).max() * np.abs(b).max() * a.shape[1] < EXACT:
+    if float(np.abs(a).max()) / EXACT * float(np.abs(b).max()) * a.shape[1] < 1:
         return np.einsum("ij,ij->i", a, b).astype(np.int64)
     out = [sum(int(x) * int(y) for x, y in zip(r, s)) for r, s in zip(a, b)]
     return np.array([min(max(x, -(1 << 63)), (1 << 63) - 1) for x in out], np.int64)
 
 
-def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, block: int = 1024, head: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Exact k best candidates of each query: query's place, candidate's id, score. q and v hold whole numbers."""
-    length = np.sqrt(np.einsum("ij,ij->i", v, v))
-    order = np.argsort(-length, kind="stable")
-    ids, v, length = ids[order], v[order], length[order]
-    unit = max(float(np.abs(v).max(initial=0)), 1.0)
-    basis = np.linalg.eigh((v / unit).T @ (v / unit))[1][:, ::-1]
-    head = min(head, v.shape[1])
-    vr, qr = v @ basis, q @ basis
-    v_rest, q_rest = np.linalg.norm(vr[:, head:], axis=1), np.linalg.norm(qr[:, head:], axis=1)
-    q_len = np.linalg.norm(q, axis=1)
+class Prepared:
+    """A shard's vectors by descending length, in units of the largest component, with the rotated first coordinates and the length of the rest."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, head: int = 16):
+        self.unit = float(np.abs(v).max(initial=0)) or 1.0
+        length = np.linalg.norm(v / self.unit, axis=1)
+        order = np.lexsort((ids, -length))
+        self.ids, self.v, self.length = ids[order], v[order], length[order]
+        small = self.v / self.unit
+        self.head = min(head, v.shape[1])
+        self.basis = np.linalg.eigh(small.T @ small)[1][:, ::-1]
+        turned = small @ self.basis
+        self.first, self.rest = turned[:, : self.head].copy(), np.linalg.norm(turned[:, self.head :], axis=1)
+
+
+def search(q_ids: np.ndarray, q: np.ndarray, p: Prepared, k: int, kth: np.ndarray | None = None, block: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exact k best candidates of each query that reach kth (its k-th best score elsewhere): query's place, candidate's id, score. All hold whole numbers."""
+    unit = float(np.abs(q).max(initial=0)) or 1.0
+    turned = (q / unit) @ p.basis
+    first, rest = turned[:, : p.head], np.linalg.norm(turned[:, p.head :], axis=1)
+    q_len = np.linalg.norm(q / unit, axis=1)
     got_q, got_id, got_score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    kth = np.full(len(q), -np.inf)
+    floor = np.full(len(q), -np.inf) if kth is None else kth
+    kth = floor.copy()
     open_ = np.arange(len(q))
     slack = 1e-9  # of |query| * |candidate|, far above rounding in the rotation
-    for a in range(0, len(ids), block):
-        open_ = open_[q_len[open_] * length[a] * (1 + slack) >= kth[open_]]
+    for a in range(0, len(p.ids), block):
+        least = kth / unit / p.unit
+        open_ = open_[q_len[open_] * p.length[a] * (1 + slack) >= least[open_]]
         if not len(open_):
             break
-        at = slice(a, min(a + block, len(ids)))
-        bound = qr[open_, :head] @ vr[at, :head].T + q_rest[open_][:, None] * v_rest[at][None]
-        bound += slack * q_len[open_][:, None] * length[at][None]
-        i, j = np.nonzero((bound >= kth[open_][:, None]) & (q_ids[open_][:, None] != ids[at][None]))
-        for p in range(0, len(i), 1 << 16):
-            x, y = open_[i[p : p + (1 << 16)]], a + j[p : p + (1 << 16)]
-            score = _products(q[x], v[y])
+        at = slice(a, min(a + block, len(p.ids)))
+        bound = first[open_] @ p.first[at].T + rest[open_][:, None] * p.rest[at][None]
+        bound += slack * q_len[open_][:, None] * p.length[at][None]
+        i, j = np.nonzero((bound >= least[open_][:, None]) & (q_ids[open_][:, None] != p.ids[at][None]))
+        for c in range(0, len(i), 1 << 16):
+            x, y = open_[i[c : c + (1 << 16)]], a + j[c : c + (1 << 16)]
+            score = _products(q[x], p.v[y])
             keep = score >= kth[x]
-            got_q, got_id, got_score = np.r_[got_q, x[keep]], np.r_[got_id, ids[y][keep]], np.r_[got_score, score[keep]]
+            got_q, got_id, got_score = np.r_[got_q, x[keep]], np.r_[got_id, p.ids[y][keep]], np.r_[got_score, score[keep]]
             stay = best(got_q, got_id, got_score, k)
             got_q, got_id, got_score = got_q[stay], got_id[stay], got_score[stay]
             full = np.bincount(got_q, minlength=len(q)) >= k
             low = np.full(len(q), np.inf)
             np.minimum.at(low, got_q, got_score)
-            kth = np.where(full, low, -np.inf)
+            low -= np.abs(low) * 1e-15  # scores beyond 2^53 are rounded here
+            kth = np.maximum(floor, np.where(full, low, -np.inf))
     return got_q, got_id, got_score
 
 
-def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, vec_id: str = "vec_id", embedding: str = "embedding", shard: int = SHARD, block: int = QUERIES) -> DataFrame:
+INDEX = "dim int, shard int, place int, vec_id long, v array<double>"
+
+
+def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, vec_id: str = "vec_id", embedding: str = "embedding", shard: int = SHARD) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row whose vec_id is divisible by `every` the k highest integer inner products.
 
     Components become floor(scale * x), x as double. Candidates: every vector with another vec_id and as many components; all of them if
     fewer than k. Ties go to the smaller vec_id. Rows with a null id, a null vector, an empty one, or null or non-finite
     components take no part. A row repeated exactly counts once; vectors that share a vec_id are candidates each (the
-    better one may fill two ranks), and the query is the smallest of them. Scores beyond a long are held at its ends.
-    Candidates are dealt into shards by vec_id, evenly whatever the vectors, and queries into blocks.
+    better one may fill two ranks), and the query is the smallest of them. Scores beyond a long are held at its ends. An empty table gives no rows.
+    Other columns are not looked at, whatever their names. Candidates are dealt into shards by range of length (of ties, by vec_id), evenly whatever the vectors.
     """
     vectors = valid(embeddings, vec_id, embedding).select("vec_id", F.transform("v", lambda x: _floor(x * scale)).alias("v")).distinct()
-    index, shards = sharded(vectors, F.xxhash64("vec_id"), shard)
-    left, right = dealt(index, queries_of(vectors, every), shards, shard, block)
-
-    def run(key: tuple, c: pa.Table, q: pa.Table) -> pa.Table:
-        dim = key[0].as_py()
-        out: list[list[np.ndarray]] = [[], [], []]
-        if len(c) and len(q):
-            ids, v = c.column("vec_id").to_numpy(), matrix(c.column("v"), dim)
-            q_ids, qv = q.column("vec_id").to_numpy(), matrix(q.column("v"), dim)
-            for a in range(0, len(q_ids), 512):
-                x, y, s = search(q_ids[a : a + 512], qv[a : a + 512], ids, v, k)
-                for o, z in zip(out, (q_ids[a : a + 512][x], y, s)):
-                    o.append(z)
-        cols = [np.concatenate(o) if o else np.empty(0, np.int64) for o in out]
-        return pa.table({"query_id": cols[0], "vec_id": cols[1], "score": cols[2]})
-
-    keys = ["dim", "shard", "part"]
-    return ranked(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score long"), k)
+    vectors = written(vectors.withColumn("dim", F.size("v")), "vectors")
+    shards = max(1, math.ceil(vectors.count() / shard))
+    top = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    size = F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / 2.0**512) * (x / 2.0**512))  # in units in which squares don't overflow
+    size = F.when(top < 2.0**400, F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).otherwise(size * 2.0**960)
+    laid = vectors.withColumn("__size", -size).repartitionByRange(shards, "dim", "__size", "vec_id").withColumn("shard", F.spark_partition_id()).drop("__size")
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The shard's rows by descending length; what search needs besides is made again where a shard is loaded."""
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        t = pa.Table.from_batches(held).combine_chunks()
+        for dim in np.unique(t.column("dim").to_numpy()):
+            some = t.filter(pa.compute.equal(t.column("dim"), int(dim)))
+            v, ids = matrix(some.column("v"), int(dim)), some.column("vec_id").to_numpy()
+            order = np.lexsort((ids, -np.linalg.norm(v / (np.abs(v).max(initial=0) or 1.0), axis=1)))
+            some = some.take(pa.array(order))
+            yield from pa.table({"dim": some.column("dim"), "shard": some.column("shard"), "place": pa.array(np.arange(len(some)), pa.int32()), "vec_id": some.column("vec_id"), "v": some.column("v")}).combine_chunks().to_batches()
+
+    index = written(laid.select("dim", "shard", "vec_id", "v").mapInArrow(lean(numbered), INDEX), "shards")
+    places = index.groupBy("dim", "shard").agg(F.count(F.lit(1)).alias("n"))
+    longest = places.groupBy("dim").agg(F.min("shard").alias("shard"))
+    queries = queries_of(vectors, every)
+
+    def load(rows: pa.Table, dim: int) -> Prepared:
+        return Prepared(rows.column("vec_id").to_numpy(), matrix(rows.column("v"), dim))
+
+    def ask(p: Prepared, rows: pa.Table) -> pa.RecordBatch:
+        q_ids, kth = rows.column("vec_id").to_numpy(), rows.column("kth")
+        least = None if kth.null_count == len(kth) else np.array([-np.inf if x is None else float(x) - abs(x) * 1e-15 for x in kth.to_pylist()])
+        x, y, s = search(q_ids, matrix(rows.column("v"), p.v.shape[1]), p, k, least)
+        return pa.RecordBatch.from_arrays([pa.array(q_ids[x]), pa.array(y), pa.array(s)], names=["query_id", "vec_id", "score"])
+
+    kind = "query_id long, vec_id long, score long"
+    first_shards = index.join(F.broadcast(longest), ["dim", "shard"], "left_semi")
+    first = written(beside(first_shards, to_shards(queries, longest).withColumn("kth", F.lit(None).cast("long"))).mapInArrow(lean(by_shard(load, ask)), kind), "longest")
+    full = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k).select("query_id", "kth")
+    others = places.join(F.broadcast(longest), ["dim", "shard"], "left_anti")
+    asked = to_shards(queries.join(full, F.col("vec_id") == F.col("query_id"), "left").drop("query_id"), others)
+    rest = beside(index.join(F.broadcast(longest), ["dim", "shard"], "left_anti"), asked).mapInArrow(lean(by_shard(load, ask)), kind)
+    out = written(ranked(first.union(rest), k), "ranks")
+    dropped(vectors, index, first)
+    return out
 
 
 def _floor(x):
     """floor() to a double, also beyond the range of long."""
-    return F.when(F.abs(x) < F.lit(EXACT), F.floor(F.when(F.abs(x) < F.lit(EXACT), x).otherwise(0.0)).cast("double")).otherwise(x)
+    held = F.greatest(F.least(x, F.lit(1.7e308)), F.lit(-1.7e308))
+    return F.when(F.abs(x) < F.lit(EXACT), F.floor(F.when(F.abs(x) < F.lit(EXACT), x).otherwise(0.0)).cast("double")).otherwise(held)
 
 
 SQL = """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARD = 16384  # candidates searched at once
-QUERIES = 16384  # queries held beside them
 
 
 def valid(embeddings: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -25,20 +25,57 @@ def queries_of(vectors: DataFrame, every: int) -> DataFrame:
     return vectors.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def dealt(index: DataFrame, queries: DataFrame, shards: int, shard: int = SHARD, block: int = QUERIES) -> tuple[DataFrame, DataFrame]:
-    """index (with columns dim, shard) and queries keyed by (dim, shard, part), so that each query block meets each shard once.
+def beside(index: DataFrame, queries: DataFrame) -> DataFrame:
+    """index (with columns dim, shard, place) and queries (dim, shard) in one table, each shard's index rows followed by its queries: kind 0 and 1.
 
-    A stated set of queries goes against all rows in blocks: no pair of rows is made by a join."""
-    parts = max(1, math.ceil(queries.count() / block))
-    left = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    right = queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
-    right = right.withColumn("dim", F.size("v")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    return left, right.select("dim", "shard", "part", "vec_id", "v")
+    A stated set of queries goes against all rows, shard by shard: the index is moved once, no pair of rows is made by a join, and a task holds one
+    shard and streams the queries past it."""
+    both = index.withColumn("kind", F.lit(0)).unionByName(queries.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    return both.repartition(F.col("dim"), F.col("shard")).sortWithinPartitions("dim", "shard", "kind", "place")
 
 
-def sharded(vectors: DataFrame, key: Column, shard: int = SHARD) -> tuple[DataFrame, int]:
-    shards = max(1, math.ceil(vectors.count() / shard))
-    return vectors.withColumn("dim", F.size("v")).withColumn("shard", F.pmod(key, F.lit(shards)).cast("int")), shards
+def to_shards(queries: DataFrame, shards: DataFrame) -> DataFrame:
+    """Each query (vec_id, v) for each shard (dim, shard: a row for every SHARD vectors) of vectors with as many components."""
+    per = shards.groupBy("dim").agg(F.collect_list("shard").alias("__to"))
+    return queries.withColumn("dim", F.size("v")).join(F.broadcast(per), "dim").withColumn("shard", F.explode("__to")).drop("__to")
+
+
+def by_shard(load: Callable[[pa.Table, int], object], ask: Callable[[object, pa.Table], pa.RecordBatch | None], at_once: int = 512):
+    """For mapInArrow over beside(): load(rows of a shard, dim) once, then ask(what load gave, queries) for `at_once` queries at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, index, held, loaded = None, [], [], None
+
+        def asked(all_: bool):
+            nonlocal held, loaded
+            if not held or not index and loaded is None:
+                held = held if index or loaded is not None else []
+                return
+            if loaded is None:
+                loaded = load(pa.Table.from_batches(index).combine_chunks(), key[0])
+                index.clear()
+            rows = pa.Table.from_batches(held).combine_chunks()
+            upto = len(rows) if all_ else len(rows) // at_once * at_once
+            for a in range(0, upto, at_once):
+                if (out := ask(loaded, rows.slice(a, min(at_once, upto - a)))) is not None and len(out):
+                    yield out
+            held = rows.slice(upto).combine_chunks().to_batches() if upto < len(rows) else []
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            k = np.stack([batch.column(c).to_numpy() for c in ("dim", "shard", "kind")], 1)
+            cuts = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]).any(1)])
+            for a, b in zip(cuts, np.r_[cuts[1:], len(k)]):
+                if (now := (int(k[a, 0]), int(k[a, 1]))) != key:
+                    yield from asked(True)
+                    key, index, held, loaded = now, [], [], None
+                (held if k[a, 2] else index).append(batch.slice(a, b - a))
+                if sum(map(len, held)) >= at_once:
+                    yield from asked(False)
+        yield from asked(True)
+
+    return run
 
 
 def matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -51,7 +88,7 @@ def matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
 
 def best(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best for each query: highest score first, ties to the smaller id."""
-    order = np.lexsort((ids, -score, q))
+    order = np.lexsort((ids, ~score if score.dtype.kind == "i" else -score, q))  # ~ has no overflow
     first = np.flatnonzero(np.r_[True, q[order][1:] != q[order][:-1]])
     rank = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
     return order[rank < k]

@@ -3,8 +3,8 @@ import random
 import numpy as np
 from helpers import components
 
+from locusmill.llm import _tables, jaccard
 from locusmill.llm import components as cc
-from locusmill.llm import jaccard
 
 
 def corpus(seed, n=120):
@@ -36,7 +36,7 @@ def test_against_all_pairs(spark):
 
 def test_small_blocks_and_cells(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "REGION", 4)
-    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(_tables, "BROADCAST_BYTES", 0)
     docs = corpus(5)
     df = spark.createDataFrame(sorted(docs.items()), "doc_id long, text string")
     assert found(df) == components(docs)
@@ -66,6 +66,31 @@ def test_close_pairs_lose_nothing():
     assert len(trees) <= 2 * len(np.unique(label))
 
 
+def test_cells_are_cut_on_documents(spark):
+    """All documents of a table as one region: cells spare most comparisons and lose no link."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    import pyarrow as pa
+
+    from locusmill.llm._words import shingle_sets
+
+    sets = [s for s in shingle_sets(pa.array(list(docs.values())), 5) if len(s)]
+    n, label, told = np.array([len(s) for s in sets]), np.arange(len(sets)), {}
+    got, _ = jaccard.close_pairs([jaccard.parity_bits(s) for s in sets], n, label, 80, told=told)
+    got = set(map(tuple, got))
+    where = {}
+    for i, s in enumerate(sets):
+        for x in s.tolist():
+            where.setdefault(x, []).append(i)
+    common = {}
+    for ids in where.values():
+        for k, a in enumerate(ids):
+            for b in ids[k + 1 :]:
+                common[a, b] = common.get((a, b), 0) + 1
+    want = {p for p, c in common.items() if 100 * c >= 80 * (n[p[0]] + n[p[1]] - c)}
+    assert want and want <= got
+    assert told["cells"] > 10 and told["compared"] < told["pairs"], told
+
+
 def test_edges(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.near_duplicates(df).count() == 0

@@ -92,3 +92,18 @@ def test_recall_with_mixed_norms():
             assert len(set(g)) == len(g)
             hit += len(set(g[np.argsort(-(w[g] @ q[i]))[:20]]) & set(exact[i]))
         assert hit / exact.size >= 0.97
+
+
+def test_scores_held_at_the_ends_of_a_long(spark):
+    d = [(0, [1e30, 1.0]), (1, [-1e30, 1.0]), (2, [1.0, 1.0]), (3, [2.0, 1.0])]
+    got = topk.top_k(frame(spark, d).selectExpr("vec_id", "CAST(embedding AS array<double>) AS embedding"), k=1, every=4).collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(0, 2)]  # the products with 2 and 3 are both beyond a long
+
+
+def test_very_large_components():
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(12, 16))[rng.integers(0, 12, 1500)] + 0.4 * rng.normal(size=(1500, 16))
+    exact = np.argsort(-(v[:60] @ v.T), axis=1)[:, :20]
+    for by in (1e22, 1e200, 1e-30):
+        got = ann.search(v * by, ann.build(v * by), v[:60] * by)
+        assert np.mean([len(set(g[:20]) & set(e)) / 20 for g, e in zip(got, exact)]) >= 0.95

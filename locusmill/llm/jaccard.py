@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusmill.llm._tables import dropped, small, written
+from locusmill.llm._tables import bitmap, dropped, small, texts_of, with_bit, written
 from locusmill.llm._words import U, lean, mix, pieces, shingle_sets
 from locusmill.llm.components import connected_components
 
@@ -135,9 +135,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str, k:
     right = groups.select(F.col("g").alias("row"), F.explode(F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda i: F.struct(F.col("g"), i.alias("salt"), F.lit(0).alias("side")))).alias("t"))
     targets = left.union(right).groupBy("row").agg(F.collect_list("t").alias("t"))
     wanted = written(targets.join(sets.select("row", "doc_id", "dg", "h1", "h2"), "row").select("row", "doc_id", "dg", "h1", "h2", F.col("t.g").alias("g"), F.col("t.salt").alias("salt"), F.col("t.side").alias("side")), "wanted")
-    value = docs[text].cast("string")
-    src = docs.select(docs["doc_id"].cast("long").alias("__id"), F.xxhash64(value).alias("__dg"), value.alias("text"))
-    found = src.join(small(wanted), F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__dg") == F.col("dg"))).select("row", "h1", "h2", "g", "salt", "side", "text")
+    found = texts_of(docs, text, wanted).select("row", "h1", "h2", "g", "salt", "side", "text")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -476,22 +474,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", k: int = 5, percent: in
     classes = some.groupBy("h1", "h2").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("m")).where("m > 1").select("h1", "h2", "node")
     classes = written(classes, "classes")  # as a table of its own, so that the join can be broadcast or split
     copies = written(some.select("row", "h1", "h2").join(small(classes), ["h1", "h2"]).where("row <> node").select("row", "node"), "copies")
-    doubles = small(copies, copies.select("row"))
-    exploded = some.select("row", "mins").join(doubles, "row", "left_anti").select("row", F.posexplode("mins").alias("j", "h"))
+    doubles = bitmap(copies, F.col("row"), "doubles")
+    first_of = lambda df: with_bit(df, F.col("row"), doubles, "__double").where("NOT __double").drop("__double")
+    exploded = first_of(some.select("row", "mins")).select("row", F.posexplode("mins").alias("j", "h"))
     pivots = exploded.groupBy("j", "h").agg(F.min("row").alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1").select("j", "h", "pivot")
     pivots = written(pivots, "pivots")
     stars = written(exploded.join(small(pivots), ["j", "h"]).where("row <> pivot").select(F.col("row").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
     star_links = _verified(stars, sets, docs, text, k, percent)
     trees = connected_components(star_links)
     labels = written(trees, "labels")
-    nodes = some.select("row", "n", "first").join(doubles, "row", "left_anti")
+    nodes = first_of(some.select("row", "n", "first"))
     nodes = nodes.join(small(labels), nodes["row"] == labels["node"], "left").select("row", F.coalesce("label", "row").alias("label"), "n", "first")
     members = written(_members(_region_rows(nodes), percent), "members")
     some_pairs = _candidates(members, sets, percent, trees=True)
     links = _verified(some_pairs.select("a", "b"), sets, docs, text, k, percent)
     dropped(classes, pivots, stars, trees, labels)
     every = copies.select(F.col("row").alias("a"), F.col("node").alias("b")).union(star_links).union(links)
-    gone = [copies, star_links, links, members, some_pairs, sets]
+    gone = [copies, doubles, star_links, links, members, some_pairs, sets]
     # regions where trees may have left a link out: all other pairs of what is still apart
     rest = written(some_pairs.where("s IS NOT NULL").select("s").distinct(), "rest")
     if rest.limit(1).count():

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusmill.llm._tables import written
+from locusmill.llm._tables import bitmap, small, with_bit, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -70,17 +70,24 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *keys)
 
 
-def mixed(docs: DataFrame, most: int = 1_000_000, **options) -> DataFrame:
-    """The mix itself: each row of docs as often as mix() takes it, with its columns unchanged.
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each row of docs as often as mix() takes it, with its columns unchanged. An empty table gives an empty mix.
 
-    Each row is a document of its own, also where doc_ids are null or shared: rows are written with a number first. How often is
-    broadcast if the counted rows are at most `most` (about 24 MB), so that texts stay where they are; else it is joined."""
+    Each row is a document of its own, also where doc_ids are null or shared: rows are written with a number first. A source takes each of its rows
+    equally often or once more, so a bit for each row says how often: texts stay where they are while the bitmap is small enough to be broadcast."""
     names = [options.get(k, k) for k in ("text", "source")]
     rows = written(docs.withColumn("__h", F.xxhash64(*[docs[c].cast("string") for c in names])).withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
-    taken = mix(rows, keys=("__h", "__row"), **options).where("copies > 0").select(F.col("__row").alias("__id"), F.col("copies").alias("__copies"))
-    taken = written(taken, "mix-copies")
-    joined = rows.join(F.broadcast(taken) if taken.count() <= most else taken, rows["__row"] == taken["__id"])
-    return joined.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    taken = written(mix(rows, keys=("__h", "__row"), **options).select("__row", F.col("source").alias("__source"), "copies"), "mix-copies")
+    least = written(taken.groupBy("__source").agg(F.min("copies").alias("__least"), F.max("copies").alias("__most")), "mix-least")
+    if least.where("__most > __least + 1").limit(1).count():  # sums so large that doubles are rounded
+        joined = rows.join(taken.select("__row", F.col("copies").alias("copies__")), "__row")
+    else:
+        per = small(least, least.select(F.col("__source").alias("__s"), "__least"))
+        more = bitmap(taken.join(per, F.col("__source").eqNullSafe(F.col("__s"))).where("copies > __least"), F.col("__row"), "mix-more")
+        joined = with_bit(rows, F.col("__row"), more, "__more").join(per, rows[names[1]].cast("string").eqNullSafe(F.col("__s")))
+        joined = joined.withColumn("copies__", F.col("__least") + F.col("__more").cast("long"))
+    count = F.col("copies__").cast("int")
+    return joined.where(count > 0).withColumn("__k", F.explode(F.sequence(F.lit(1), count))).select(*docs.columns)
 
 
 def targets_sql(weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix") -> str:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusmill.llm._tables import dropped, small, written
+from locusmill.llm._tables import CELLS, bitmap, dropped, small, texts_of, with_bit, written
 from locusmill.llm._words import U, lean, mix, pieces, runs_of, words
 
 _ODD = 0x9E3779B97F4A7C15
@@ -164,9 +164,7 @@ def _contexts(docs: DataFrame, text: str, reps: DataFrame, found: DataFrame, lea
     ids = found.groupBy("doc_id", "th").agg(F.min("dg").alias("dg")).alias("i")
     same = F.col("p.doc_id").eqNullSafe(F.col("i.doc_id")) & (F.col("p.th") == F.col("i.th"))
     wanted = written(per.join(ids, same).select("p.doc_id", "p.th", "i.dg", *[F.col(f"p.z.{c}").alias(c) for c in ("key", "whole", "pos", "lo", "hi", "many")]), "wanted")
-    value = docs[text].cast("string")
-    src = docs.select(docs["doc_id"].cast("long").alias("__id"), F.xxhash64(value).alias("__dg"), value.alias("text"))
-    texts = src.join(small(wanted), F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__dg") == F.col("dg"))).select("doc_id", "th", "key", "whole", "pos", "lo", "hi", "many", "text")
+    texts = texts_of(docs, text, wanted).select("doc_id", "th", "key", "whole", "pos", "lo", "hi", "many", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple] = set()  # a document of several equal rows goes once from here; the rest are equal rows, which do no harm
@@ -255,7 +253,7 @@ def _passages(docs: DataFrame, text: str, least: int, k: int) -> tuple[DataFrame
     classes = flat.groupBy("key", "whole").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
     per = classes.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min("first").alias("f"), F.max("last").alias("l")).where(~F.col("f").eqNullSafe(F.col("l"))).select("key", "kinds")
     shared = written(classes.join(per, "key").select("key", "whole", "first", (~F.col("first").eqNullSafe(F.col("last"))).alias("many"), (F.col("kinds") > 1).alias("beside")), "shared")
-    rows = flat.join(small(shared), ["key", "whole"]).withColumn("own", F.col("doc").eqNullSafe(F.col("first")))
+    rows = flat.join(shared, ["key", "whole"]).withColumn("own", F.col("doc").eqNullSafe(F.col("first")))
     members = written(rows.where("many OR beside").select("doc_id", "th", "key", "whole", "pos", "lo", "hi", "many", "own", "beside"), "members")
     contexts = _contexts(docs, text, members.where("own AND beside"), found, least)
     windows = _windows(contexts, least)
@@ -306,8 +304,14 @@ def without_repeats(docs: DataFrame, text: str = "text", least: int = 50, k: int
     each = written(each.select(F.col("c.doc_id").alias("__cid"), F.col("i.dg").alias("__cdg"), F.col("c.th").alias("__th"), F.col("c.z.start").alias("__a"), F.col("c.z.stop").alias("__b")), "cuts")
     names = list(docs.columns)
     at = names.index(text)
-    src = docs.withColumn("__dg", F.xxhash64(docs[text].cast("string")))
-    both = src.join(small(each), src["doc_id"].cast("long").eqNullSafe(F.col("__cid")) & (src["__dg"] == F.col("__cdg")), "left")
+    # rows that can't be in cuts stay where they are
+    cell = lambda i, d: F.pmod(F.xxhash64(i, d), F.lit(1 << CELLS))
+    cells = bitmap(each, cell(F.col("__cid"), F.col("__cdg")), "cells")
+    src = docs.withColumn("__id", docs["doc_id"].cast("long")).withColumn("__dg", F.xxhash64(docs[text].cast("string")))
+    src = with_bit(src, cell(F.col("__id"), F.col("__dg")), cells, "__may")
+    some = src.where("__may").join(each.hint("merge"), F.col("__id").eqNullSafe(F.col("__cid")) & (F.col("__dg") == F.col("__cdg")), "left").select(*names, "__th", "__a", "__b")
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    both = some.union(src.where("NOT __may").select(*names, none("__th", "long"), none("__a", "array<long>"), none("__b", "array<long>")))
     plan = both.select(*names, "__th", "__a", "__b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

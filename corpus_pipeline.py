@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusmill.llm import bpe, jaccard, langid, mixing, suffix
-from locusmill.llm._tables import small, written
+from locusmill.llm._tables import bitmap, with_bit, written
 from locusmill.llm.queries import byte_bpe
 from locusmill.session import ship
 
@@ -38,8 +38,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__h", "__row")
     ids = rows.select("doc_id", "__h", "__row")
     keep = ids.join(found, F.col("__row") == F.col("__id")).groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.__row").alias("__keep"))
-    keep = written(keep, "keep")
-    return rows.join(small(keep), F.col("__row") == F.col("__keep"), "left_semi").select(*docs.columns)
+    return with_bit(rows, F.col("__row"), bitmap(keep, F.col("__keep"), "keep"), "__stays").where("__stays").select(*docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

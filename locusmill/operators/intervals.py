@@ -196,11 +196,28 @@ def split_batches(blocks: DataFrame, batches: int, tile: int = TILE) -> DataFram
 
 
 def pack_contigs(contigs: DataFrame, bins: int) -> DataFrame:
-    """contig, len, bin: the `bins` longest contigs open a bin each; the others go round the bins by falling length.
-
-    For the list of contigs, which is small whatever the data on them."""
-    rank = F.row_number().over(Window.orderBy(F.col("len").desc(), "contig")) - 1
-    return contigs.select("contig", "len", (rank % bins).cast("int").alias("bin"))
+    """contig, len, bin: the `bins` longest contigs open a bin each (as many as there are contigs); by falling length the others fill one bin after the
+    other until it has total / (bins + 1) + 1 bases, and what is left then goes round the bins.
+
+    For the list of contigs, which is small whatever the data on them: one row holds it."""
+    one = contigs.agg(F.sort_array(F.collect_list(F.struct((-F.col("len")).alias("n"), "contig"))).alias("s"), F.sum("len").alias("all"))
+    one = one.withColumn("k", F.least(F.lit(bins), F.size("s"))).withColumn("full", F.floor(F.col("all") / (F.col("k") + 1)) + 1)
+    seed = lambda g: F.when(g < F.col("k"), -F.try_element_at("s", (g + 1).cast("int"))["n"]).otherwise(F.lit(0)).cast("long")
+    opened = F.size(F.filter(F.slice("s", 1, F.col("k")), lambda x: -x["n"] >= F.col("full")))
+
+    def put(state: Column, i: Column) -> Column:
+        more = state["size"] >= F.col("full")
+        g = F.when(more, state["g"] + 1).otherwise(state["g"])
+        size = F.when(more, seed(g)).otherwise(state["size"]) - F.element_at("s", i)["n"]
+        over = g >= F.col("k")
+        bin_ = F.when(over, (i - 1) % F.col("k")).otherwise(g).cast("int")
+        return F.struct(g.cast("int").alias("g"), F.when(over, F.lit(0).cast("long")).otherwise(size.cast("long")).alias("size"), F.concat(state["bins"], F.array(bin_)).alias("bins"))
+
+    first = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: i.cast("int"))
+    start = F.struct(opened.cast("int").alias("g"), seed(opened).alias("size"), first.alias("bins"))
+    rest = F.when(F.size("s") > F.col("k"), F.sequence(F.col("k") + 1, F.size("s"))).otherwise(F.array().cast("array<int>"))
+    made = one.where(F.size("s") > 0).select(F.arrays_zip("s", F.aggregate(rest, start, put)["bins"].alias("bins")).alias("z"))
+    return made.select(F.explode("z").alias("z")).select("z.s.contig", (-F.col("z.s.n")).alias("len"), "z.bins").toDF("contig", "len", "bin")
 
 
 def chunk_last(length: Column, size: int) -> Column:

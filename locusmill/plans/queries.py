@@ -19,7 +19,10 @@ from locusmill.operators import misassembly as Z
 from locusmill.operators import mixture as X
 from locusmill.operators import reads as R
 from locusmill.plans import derived as D
-from locusmill.session import ship
+from locusmill.session import scratch, ship
+from locusmill.sources import cov as V
+from locusmill.sources import sinks as K
+from locusmill.sources import text as S
 from locusmill.streaming import events as E
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,11 +123,6 @@ def i4_coverage(spark, sf_dir):
     return covered(spark, sf_dir)
 
 
-@query('SELECT o.contig, greatest(o.s, a.s) AS start, least(o.e, a.e) AS "end", value FROM ord o JOIN ann a ON o.contig = a.contig AND o.s < a.e AND a.s < o.e WHERE a.annot <= 3')
-def i5_intersect(spark, sf_dir):
-    return I.intersect(blocks(spark, sf_dir), D.annotations(spark, sf_dir).where("annot <= 3"))
-
-
 SUB = sweep_sql("z", "both_", {"l": "l", "r": "r"}) + ", only_ AS (SELECT contig, s, e FROM z WHERE l > 0 AND r = 0), " + merge_sql("m", "only_", "s > reach")
 
 
@@ -219,7 +217,15 @@ def i18_split_batches(spark, sf_dir):
     return I.split_batches(I.merge(blocks(spark, sf_dir)).select("contig", "start", "end"), 7)
 
 
-@query("SELECT contig, len, ((row_number() OVER (ORDER BY len DESC, contig) - 1) % 4)::INTEGER AS bin FROM contigs")
+PACK = """SELECT contig, len, bin::INTEGER AS bin FROM (WITH RECURSIVE o AS (SELECT contig, len, row_number() OVER (ORDER BY len DESC, contig) - 1 AS k FROM contigs),
+p AS (SELECT least(4, count(*)) AS n, sum(len) // (least(4, count(*)) + 1) + 1 AS full_ FROM contigs),
+f(k, g, size, bin) AS (SELECT n - 1, (SELECT count(*) FROM o WHERE o.k < n AND len >= full_), coalesce((SELECT len FROM o WHERE o.k < n AND o.k = (SELECT count(*) FROM o WHERE o.k < n AND len >= full_)), 0)::BIGINT, -1::BIGINT FROM p
+ UNION ALL SELECT o.k, f.g + (size >= full_)::BIGINT, CASE WHEN f.g + (size >= full_)::BIGINT >= n THEN 0 ELSE (CASE WHEN size >= full_ THEN (SELECT len FROM o q WHERE q.k = f.g + 1) ELSE size END) + o.len END::BIGINT,
+  CASE WHEN f.g + (size >= full_)::BIGINT >= n THEN o.k % n ELSE f.g + (size >= full_)::BIGINT END FROM f, p, o WHERE o.k = f.k + 1)
+SELECT contig, len, k AS bin FROM o, p WHERE k < n UNION ALL SELECT contig, len, f.bin FROM f JOIN o ON f.k = o.k WHERE f.bin >= 0)"""
+
+
+@query(PACK)
 def i19_pack_contigs(spark, sf_dir):
     return I.pack_contigs(D.contigs(spark, sf_dir), 4)
 
@@ -468,16 +474,6 @@ def r9_neighbours(spark, sf_dir):
 # labels and metrics
 
 
-@query(
-    'SELECT z.contig, z.s AS start, z.e AS "end", o.value AS block, coalesce(t.label, -1)::INTEGER AS truth FROM cut z JOIN base o ON z.contig = o.contig AND o.s <= z.s AND z.e <= o.e LEFT JOIN lab t ON z.contig = t.contig AND t.s <= z.s AND z.e <= t.e',
-    merge_sql("mm", "ord", "s > reach") + ", base AS (SELECT contig, s, e, n::INTEGER AS value FROM mm), lab AS (SELECT * FROM truth WHERE label >= 0 AND s % 1500 > 0), marks AS (SELECT contig, s, e FROM base UNION ALL SELECT contig, s, e FROM lab), " + sweep_sql("cut", "marks", {}),
-)
-def l1_augment_labels(spark, sf_dir):
-    base = I.merge(blocks(spark, sf_dir)).select("contig", "start", "end", F.col("n").cast("int").alias("block"))
-    labels = D.tiles(spark, sf_dir, "truth").where("label >= 0 AND start % 1500 > 0")
-    return C.with_labels(base, labels, "truth")
-
-
 FINAL = "tp AS (SELECT contig, s, e, CASE WHEN label < 0 THEN 4 ELSE label END AS label FROM pred), " + COLLAPSE.format(n="c1", s="tp", v="label") + ", short AS (SELECT contig, s, e, CASE WHEN label IN (0, 1, 3) AND e - s < 600 THEN 2 ELSE label END AS label FROM c1), " + COLLAPSE.format(n="fin", s="short", v="label")
 
 
@@ -562,9 +558,24 @@ def m5_percentages(spark, sf_dir):
     return M.percentages(summary_of(spark, sf_dir, ["base", "overlap"]), ["stratum", "comparison", "metric", "bin"])
 
 
-@query()
+def _averages_sql() -> str:
+    mean, cols = {}, []
+    for name in ("recall", "precision"):
+        for tail, cond in (("", "true"), ("_no_hap", "label <> 2")):
+            x = f"(CASE WHEN {cond} THEN {name} END)"
+            mean[f"macro_{name}{tail}"] = f"avg({x})"
+            mean[f"harmonic_{name}{tail}"] = f"count({x}) / sum(1 / greatest({x}, 1e-9::DOUBLE))"
+    inner = ", ".join(f"{e} AS {n}" for n, e in mean.items())
+    cols += [f"round({n}, 6) AS {n}" for n in mean]
+    cols += [f"round(2 * {k}_recall{t} * {k}_precision{t} / ({k}_recall{t} + {k}_precision{t} + 1e-9::DOUBLE), 6) AS {k}_f1{t}" for k in ("macro", "harmonic") for t in ("", "_no_hap")]
+    return f"SELECT stratum, metric, bin, {', '.join(cols)} FROM (SELECT stratum, metric, bin, {inner} FROM lab1 GROUP BY ALL)"
+
+
+@query(_averages_sql(), f"{SUMMARY_VIEWS}, {SUM0}, {LABEL_SQL}")
 def m7_m8_averages(spark, sf_dir):
-    return M.averages(M.per_label(summary_of(spark, sf_dir, ["base", "overlap"]), KEY3), KEY3)
+    """To six decimals, as sums of few doubles depend on their order."""
+    out = M.averages(M.per_label(summary_of(spark, sf_dir, ["base", "overlap"]), KEY3), KEY3)
+    return out.select(*KEY3, *[F.round(c, 6).alias(c) for c in out.columns if c not in KEY3])
 
 
 TABLE_SQL = "tab AS (SELECT c AS cov, (c * 7 % 11 / 10.0)::FLOAT AS p0, (c * 5 % 11 / 10.0)::FLOAT AS p1, (c * 3 % 11 / 10.0)::FLOAT AS p2, (c % 11 / 10.0)::FLOAT AS p3 FROM range(0, 30) t(c)), g7s AS (SELECT x.contig, x.s, x.e, (CASE WHEN p0 >= p1 AND p0 >= p2 AND p0 >= p3 THEN 0 WHEN p1 >= p2 AND p1 >= p3 THEN 1 WHEN p2 >= p3 THEN 2 ELSE 3 END)::INTEGER AS component FROM seg x JOIN tab ON tab.cov = least(x.cov, 29))"
@@ -616,14 +627,6 @@ def c6_c10_long_deletions(spark, sf_dir):
     return G.long_indels(steps, "D", 4).select("aln", "op", "len", "ref_start", "ref_end", "ctg_start")
 
 
-@query("SELECT aln, least(q, 10)::BIGINT AS n_from FROM lin WHERE aln % 2 = 0 AND q >= 1", f"{CIG}, {PIECES}")
-def x1_projection(spark, sf_dir):
-    """Carries the first ten bases of each forward alignment over to the reference; reports how many could be."""
-    a = placed(spark, sf_dir).where("strand = '+'").withColumn("contig", F.concat(F.lit("c"), F.col("aln").cast("string")))
-    b = a.select("contig", F.col("contig_start").alias("start"), (F.col("contig_start") + F.least(F.lit(10), F.expr("element_at(filter(cigar, x -> x.op = '='), 1).len"))).alias("end"))
-    return L.project(b, a).select("aln", (F.col("from_end") - F.col("from_start")).alias("n_from"))
-
-
 # models over the derived coverage
 
 
@@ -683,12 +686,6 @@ def r5_r6_label_runs(spark, sf_dir):
     return r.groupBy("ref", "query").agg(F.count(F.lit(1)).alias("parts"), F.sum("bases").alias("bases"), F.countDistinct("contig", "run").alias("runs"))
 
 
-@query("SELECT contig, min(s) AS start, max(pos) AS \"end\", cov FROM (SELECT *, sum(CASE WHEN p = cov THEN 0 ELSE 1 END) OVER (PARTITION BY contig ORDER BY s ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT contig, s, e AS pos, cov, lag(cov) OVER (PARTITION BY contig ORDER BY s) AS p FROM (SELECT contig, s, s + 1 AS e, n AS cov FROM z WHERE s < 3000))) GROUP BY contig, k, cov", sweep_sql("z", "prim", {}))
-def s26_depth_to_segments(spark, sf_dir):
-    d = I.depth(D.primary(spark, sf_dir)).where("start < 3000").select("contig", (F.col("start") + 1).alias("pos"), F.col("n").alias("depth"))
-    return C.depth_to_segments(d).select("contig", "start", "end", "cov")
-
-
 @query("SELECT annot_bits, bit_count(annot_bits)::INTEGER AS n, CASE WHEN annot_bits = 0 THEN -1 ELSE log2(annot_bits & -annot_bits)::INTEGER END AS low, count(*) AS segments FROM seg GROUP BY ALL", COVER)
 def f3_bits(spark, sf_dir):
     return covered(spark, sf_dir).groupBy("annot_bits").agg(F.count(F.lit(1)).alias("segments")).select("annot_bits", F.bit_count("annot_bits").alias("n"), B.lowest(F.col("annot_bits")).alias("low"), "segments")
@@ -761,17 +758,17 @@ def z2_sampling_places(spark, sf_dir):
     return Z.sampling_places(m, 200, 0.5).groupBy("contig").agg(F.count(F.lit(1)).alias("places"), F.sum(F.col("end") - F.col("start")).alias("bases"))
 
 
-# whole jobs beside queries whose SQL takes a part of them
+# positions, annotations, labels and alignments as a whole
 
 
 @query("SELECT contig, min(s) AS start, max(pos) AS \"end\", cov FROM (SELECT *, sum(CASE WHEN p = cov THEN 0 ELSE 1 END) OVER (PARTITION BY contig ORDER BY s ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT contig, s, s + 1 AS pos, cov, lag(cov) OVER (PARTITION BY contig ORDER BY s) AS p FROM (SELECT contig, s, e, n AS cov FROM z))) GROUP BY contig, k, cov", sweep_sql("z", "prim", {}))
-def s26_depth_to_segments_whole(spark, sf_dir):
+def s26_depth_to_segments(spark, sf_dir):
     d = I.depth(D.primary(spark, sf_dir)).select("contig", (F.col("start") + 1).alias("pos"), F.col("n").alias("depth"))
     return C.depth_to_segments(d).select("contig", "start", "end", "cov")
 
 
 @query('SELECT o.contig, greatest(o.s, a.s) AS start, least(o.e, a.e) AS "end", value FROM ord o JOIN ann a ON o.contig = a.contig AND o.s < a.e AND a.s < o.e')
-def i5_intersect_whole(spark, sf_dir):
+def i5_intersect(spark, sf_dir):
     return I.intersect(blocks(spark, sf_dir), D.annotations(spark, sf_dir))
 
 
@@ -779,7 +776,7 @@ def i5_intersect_whole(spark, sf_dir):
     'SELECT z.contig, z.s AS start, z.e AS "end", o.value AS block, coalesce(t.label, -1)::INTEGER AS truth FROM cut z JOIN base o ON z.contig = o.contig AND o.s <= z.s AND z.e <= o.e LEFT JOIN lab t ON z.contig = t.contig AND t.s <= z.s AND z.e <= t.e',
     merge_sql("mm", "ord", "s > reach") + ", base AS (SELECT contig, s, e, n::INTEGER AS value FROM mm), lab AS (SELECT * FROM truth WHERE label >= 0), marks AS (SELECT contig, s, e FROM base UNION ALL SELECT contig, s, e FROM lab), " + sweep_sql("cut", "marks", {}),
 )
-def l1_augment_labels_whole(spark, sf_dir):
+def l1_augment_labels(spark, sf_dir):
     base = I.merge(blocks(spark, sf_dir)).select("contig", "start", "end", F.col("n").cast("int").alias("block"))
     return C.with_labels(base, D.tiles(spark, sf_dir, "truth").where("label >= 0"), "truth")
 
@@ -790,7 +787,7 @@ def l1_augment_labels_whole(spark, sf_dir):
     "UNION ALL SELECT aln, 'tail', CASE WHEN aln % 2 = 0 THEN qs + q + 1 + ln + 2 ELSE qs END, CASE WHEN aln % 2 = 0 THEN qs + q + 1 + ln + 2 + e ELSE qs + e END, rs + q + 1 + d, rs + q + 1 + d + e FROM lin",
     f"{CIG}, {PIECES}",
 )
-def x1_projection_whole(spark, sf_dir):
+def x1_projection(spark, sf_dir):
     """Carries each alignment of both strands over, as a whole and as its parts up to and after the mismatch."""
     a = placed(spark, sf_dir).withColumn("contig", F.concat(F.lit("c"), F.col("aln").cast("string")))
     head = F.expr("element_at(filter(cigar, x -> x.op = '='), 1).len") + 1
@@ -799,3 +796,136 @@ def x1_projection_whole(spark, sf_dir):
     parts = F.array(part("all", lo, hi), part("head", F.when(plus, lo).otherwise(hi - head), F.when(plus, lo + head).otherwise(hi)), part("tail", F.when(plus, lo + head).otherwise(lo), F.when(plus, hi).otherwise(hi - head)))
     b = a.select("contig", F.inline(parts))
     return L.project(b, a).select("aln", "part", "from_start", "from_end", "to_start", "to_end")
+
+
+# formats, written and read again
+
+
+@query(f"{OUT}, value FROM ord")
+def s5_k5_bed(spark, sf_dir):
+    path = scratch(spark, "bed")
+    K.bed(blocks(spark, sf_dir), path, ["value"])
+    return S.bed(spark, path, ["value"]).withColumn("value", F.col("value").cast("int"))
+
+
+@query(f"{OUT}, label AS truth, -1 AS pred FROM truth")
+def s7_label_bed(spark, sf_dir):
+    path = scratch(spark, "labels")
+    K.bed(D.tiles(spark, sf_dir, "truth"), path, ["label"])
+    return S.label_bed(spark, path, truth=True)
+
+
+@query(f"{OUT}, value::DOUBLE AS info FROM ord")
+def s18_block_list(spark, sf_dir):
+    path = scratch(spark, "blocks")
+    K.bed(blocks(spark, sf_dir), path, ["value"])
+    return S.block_list(spark, path)
+
+
+COV_ROWS = "SELECT seg.contig, len AS contig_len, s AS start, e AS \"end\", cov::INTEGER AS cov, cov_mapq::INTEGER AS cov_mapq, cov_clip::INTEGER AS cov_clip, CASE WHEN annot_bits = 0 THEN '0' ELSE array_to_string(list_filter([1, 2, 3, 4, 5, 6], lambda k: (annot_bits >> (k - 1)) & 1 = 1), ',') END AS annots, (annot_bits & 1)::INTEGER AS region FROM seg JOIN contigs ON seg.contig = contigs.contig"
+
+
+def coverage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = covered(spark, sf_dir).join(D.contigs(spark, sf_dir).select("contig", F.col("len").alias("contig_len")), "contig")
+    return rows.withColumn("annots", F.array_join(F.transform(B.indices(F.col("annot_bits"), D.ANNOTATIONS), lambda x: x.cast("string")), ",")).withColumn("region", F.col("annot_bits").bitwiseAND(F.lit(1)).cast("int"))
+
+
+@query(COV_ROWS, COVER)
+def s1_s8_k1_coverage_file(spark, sf_dir):
+    path = scratch(spark, "cov")
+    V.write(coverage_rows(spark, sf_dir), V.Header(annotations=[f"a{k}" for k in range(D.ANNOTATIONS + 1)], regions=[10, 20]), path)
+    return V.read_text(spark, path).select("contig", "contig_len", "start", "end", "cov", "cov_mapq", "cov_clip", "annots", "region")
+
+
+@query("SELECT 'track type=bedGraph name=\"total\"' AS line UNION ALL SELECT contig || ' ' || s || ' ' || e || ' ' || value FROM ord")
+def k6_bedgraph(spark, sf_dir):
+    path = scratch(spark, "bedgraph")
+    K.bedgraph(blocks(spark, sf_dir), "value", path, "total")
+    return S.lines(spark, path).withColumnRenamed("value", "line")
+
+
+@query("SELECT cov, sum(e - s)::BIGINT AS bases FROM seg GROUP BY cov", COVER)
+def k9_s21_counts(spark, sf_dir):
+    path = scratch(spark, "counts")
+    K.counts(C.histogram(covered(spark, sf_dir)), path)
+    return S.counts(spark, path)
+
+
+@query(f"SELECT contig, contig_len, contig_start, contig_end, strand, chrom_start, chrom_end, is_primary, cigar FROM (SELECT 'ctg' || aln AS contig, 100000::BIGINT AS contig_len, qs::BIGINT AS contig_start, (qs + q + 1 + ln + 2 + e)::BIGINT AS contig_end, CASE WHEN aln % 2 = 0 THEN '+' ELSE '-' END AS strand, rs::BIGINT AS chrom_start, (rs + q + 1 + d + e)::BIGINT AS chrom_end, true AS is_primary, c AS cigar FROM lin)", f"{CIG}, {PIECES}")
+def k17_s16_paf(spark, sf_dir):
+    path = scratch(spark, "paf")
+    a = placed(spark, sf_dir).withColumn("contig", F.concat("contig", F.col("aln").cast("string")))
+    K.paf(a.withColumn("contig_len", F.lit(100000)).withColumn("chrom_len", F.lit(200000)).withColumn("mapq", F.lit(60)), path)
+    return S.paf(spark, path).select("contig", "contig_len", "contig_start", "contig_end", "strand", "chrom_start", "chrom_end", "is_primary", G.render(F.col("cigar")).alias("cigar"))
+
+
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = D.table(spark, sf_dir, "part")
+    return p.select(F.concat(F.lit("seq"), F.col("p_partkey").cast("string")).alias("name"), F.repeat(F.lit("ACGTNN"), F.col("p_size")).alias("seq"))
+
+
+@query("SELECT 'seq' || p_partkey AS name, repeat('ACGTNN', p_size) AS seq FROM part")
+def k20_s19_fasta(spark, sf_dir):
+    path = scratch(spark, "fasta")
+    K.fasta(sequences(spark, sf_dir), path)
+    return S.fasta(spark, path)
+
+
+@query("SELECT 'seq' || p_partkey AS contig, (4 + 6 * k)::BIGINT AS start, (6 + 6 * k)::BIGINT AS \"end\" FROM (SELECT p_partkey, unnest(range(0, p_size)) AS k FROM part)")
+def p7_n_runs(spark, sf_dir):
+    return S.base_intervals(sequences(spark, sf_dir))
+
+
+@query("SELECT CASE WHEN p_size > 1 THEN 'seq' || p_partkey || '_' || k ELSE 'seq' || p_partkey END AS name, 'ACGT' AS seq FROM (SELECT p_partkey, p_size, unnest(range(0, p_size)) AS k FROM part)")
+def f14_broken_at_gaps(spark, sf_dir):
+    return K.broken_at_gaps(sequences(spark, sf_dir))
+
+
+@query("SELECT contig, len FROM contigs")
+def s13_contig_lengths(spark, sf_dir):
+    path = scratch(spark, "fai")
+    K.bed(D.contigs(spark, sf_dir).select("contig", F.col("len").alias("start"), F.col("len").alias("end")), path)
+    return S.fai(spark, path)
+
+
+# more of alignments and scalars
+
+
+@query("SELECT aln, CASE WHEN aln % 2 = 0 THEN 7 + ln ELSE q + 1 + ln + 2 + e - 1 - 7 + ln + 1 END::BIGINT AS position FROM cig", CIG)
+def c4_query_to_contig(spark, sf_dir):
+    """The eighth query base of each alignment on its contig, hard clips on both sides counted in."""
+    x = F.col("cigar")
+    where = G.query_to_contig(F.lit(7), G.query_bases(x), F.when(F.col("aln") % 2 == 0, "+").otherwise("-"), G.left_clip(x), G.right_clip(x))
+    return cigars(spark, sf_dir).select("aln", where.cast("long").alias("position"))
+
+
+@query(
+    "SELECT aln, u.s AS start, u.e AS \"end\" FROM (SELECT aln, unnest(CASE WHEN d > 4 THEN [{s: rs, e: rs + q + 1}, {s: rs + q + 1 + d, e: rs + q + 1 + d + e}] WHEN ln + 2 > 4 THEN [{s: rs, e: rs + q + 1}, {s: rs + q + 1, e: rs + q + 1 + d + e}] ELSE [{s: rs, e: rs + q + 1 + d + e}] END) AS u FROM lin)",
+    f"{CIG}, {PIECES}",
+)
+def c11_covered_reference(spark, sf_dir):
+    return G.covered_reference(G.walk(placed(spark, sf_dir), ["aln"]), ["aln"], 4)
+
+
+@query("SELECT DISTINCT l_quantity AS x, round(exp(l_quantity * ln(20.0::DOUBLE) - 20 - lgamma(l_quantity + 1)), 9) AS poisson, round(exp(-(l_quantity - 25) ** 2 / 18) / sqrt(18 * pi()), 9) AS normal, round(CASE WHEN l_quantity <= 40 THEN 0.1 * exp(-0.1 * l_quantity) / (1 - exp(-4.0)) ELSE 0 END, 9) AS truncated, round(-10 * log2(1 - 10 ** (-l_quantity / 10)) / log2(exp(1)), 6) AS phred, CASE WHEN l_quantity < 10 THEN 0 WHEN l_quantity < 30 THEN 1 ELSE 2 END AS choice FROM lineitem")
+def f6_f11_f12_densities(spark, sf_dir):
+    x = D.table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("x")).distinct()
+    q = F.col("x")
+    return x.select(
+        "x", F.round(T.poisson_pdf(q, 20.0), 9).alias("poisson"), F.round(T.normal_pdf(q, 25.0, 9.0), 9).alias("normal"), F.round(T.truncated_exponential_pdf(q, 0.1, 40.0), 9).alias("truncated"),
+        F.round(T.reverse_phred(q), 6).alias("phred"), T.weighted_choice(q / 50, [10.0, 20.0, 20.0]).alias("choice"),
+    )
+
+
+@query("SELECT DISTINCT p_size, round(0.6::DOUBLE, 9) AS theta, round(p_size * 1.5::DOUBLE, 6) AS r, round(-(p_size * 1.5::DOUBLE) * ln(0.6::DOUBLE), 6) AS lambda FROM part")
+def f8_negative_binomial(spark, sf_dir):
+    p = D.table(spark, sf_dir, "part").select("p_size").distinct()
+    f = T.negative_binomial(F.col("p_size").cast("double"), F.col("p_size") / 0.6)
+    return p.select("p_size", F.round(f["theta"], 9).alias("theta"), F.round(f["r"], 6).alias("r"), F.round(f["lambda"], 6).alias("lambda"))
+
+
+@query("SELECT DISTINCT p_brand, [p_size, 7, p_size - 7] AS numbers, CASE WHEN p_size >= 7 THEN 0 ELSE 1 END AS best FROM part")
+def f4_f10_numbers(spark, sf_dir):
+    p = D.table(spark, sf_dir, "part").select("p_brand", "p_size").distinct()
+    numbers = T.split_numbers(F.concat_ws(", ", F.col("p_size").cast("string"), F.lit("7"), (F.col("p_size") - 7).cast("string")), kind="int")
+    return p.select("p_brand", numbers.alias("numbers"), T.argmax(numbers).cast("int").alias("best")).distinct()

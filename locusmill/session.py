@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -32,3 +33,15 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(path)
         _shipped.add(app)
     return spark
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names; only a local master may go without that setting."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="locusmill-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found}/locusmill-{context.applicationId}/{name}-{uuid.uuid4().hex}"

@@ -32,14 +32,3 @@ def test_without_the_subpackage(tmp_path):
     subprocess.run(["rm", "-rf", str(tmp_path / "locusmill/llm")], check=True)
     code = "import __spark_entry__ as e; assert len(e.queries()) > 50 and not [q for q in e.queries() if q.startswith('op')]"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, check=True)
-
-
-def test_depths_of_whole_contigs(spark):
-    """Positions behind the first 3000 too."""
-    assert QUERIES["s26_depth_to_segments_whole"](spark, "/root/testdata/sf0.001").where("end > 3000").count() > 0
-
-
-def test_all_annotations_and_labels(spark):
-    """More than the queries that take a part of them."""
-    for name in ("i5_intersect", "l1_augment_labels"):
-        assert QUERIES[f"{name}_whole"](spark, "/root/testdata/sf0.001").exceptAll(QUERIES[name](spark, "/root/testdata/sf0.001")).count() > 0

@@ -564,7 +564,7 @@ def _averages_sql() -> str:
         for tail, cond in (("", "true"), ("_no_hap", "label <> 2")):
             x = f"(CASE WHEN {cond} THEN {name} END)"
             mean[f"macro_{name}{tail}"] = f"avg({x})"
-            mean[f"harmonic_{name}{tail}"] = f"count({x}) / sum(1 / greatest({x}, 1e-9::DOUBLE))"
+            mean[f"harmonic_{name}{tail}"] = f"count({x}) / sum(CASE WHEN {x} IS NOT NULL THEN 1 / greatest({x}, 1e-9::DOUBLE) END)"
     inner = ", ".join(f"{e} AS {n}" for n, e in mean.items())
     cols += [f"round({n}, 6) AS {n}" for n in mean]
     cols += [f"round(2 * {k}_recall{t} * {k}_precision{t} / ({k}_recall{t} + {k}_precision{t} + 1e-9::DOUBLE), 6) AS {k}_f1{t}" for k in ("macro", "harmonic") for t in ("", "_no_hap")]
@@ -907,7 +907,7 @@ def c11_covered_reference(spark, sf_dir):
     return G.covered_reference(G.walk(placed(spark, sf_dir), ["aln"]), ["aln"], 4)
 
 
-@query("SELECT DISTINCT l_quantity AS x, round(exp(l_quantity * ln(20.0::DOUBLE) - 20 - lgamma(l_quantity + 1)), 9) AS poisson, round(exp(-(l_quantity - 25) ** 2 / 18) / sqrt(18 * pi()), 9) AS normal, round(CASE WHEN l_quantity <= 40 THEN 0.1 * exp(-0.1 * l_quantity) / (1 - exp(-4.0)) ELSE 0 END, 9) AS truncated, round(-10 * log2(1 - 10 ** (-l_quantity / 10)) / log2(exp(1)), 6) AS phred, CASE WHEN l_quantity < 10 THEN 0 WHEN l_quantity < 30 THEN 1 ELSE 2 END AS choice FROM lineitem")
+@query("SELECT DISTINCT l_quantity AS x, round(exp(l_quantity * ln(20.0::DOUBLE) - 20 - lgamma(l_quantity + 1)), 9) AS poisson, round(exp(-((l_quantity - 25) * (l_quantity - 25)) / 18) / sqrt(18 * pi()), 9) AS normal, round(CASE WHEN l_quantity <= 40 THEN 0.1 * exp(-0.1 * l_quantity) / (1 - exp(-4.0)) ELSE 0 END, 9) AS truncated, round(-10 * log2(1 - 10 ** (-l_quantity / 10)) / log2(exp(1)), 6) AS phred, CASE WHEN l_quantity < 10 THEN 0 WHEN l_quantity < 30 THEN 1 ELSE 2 END AS choice FROM lineitem")
 def f6_f11_f12_densities(spark, sf_dir):
     x = D.table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("x")).distinct()
     q = F.col("x")

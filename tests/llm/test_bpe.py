@@ -65,3 +65,33 @@ def test_histogram(spark):
     grouped = bpe.length_histogram(df, ["g"], block=8)
     assert sum(r.n_docs for r in grouped.where("g IS NULL").collect()) == 100
     assert rows(bpe.length_histogram(df.where("false"))) == []
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "abcABC0123456789+/", "0123456789", "ACGT", "ab", "a", "etaoin", "的一是不了", " "])
+def test_long_words(both, letters):
+    own, lib = both
+    r = random.Random(letters)
+    text = "".join(r.choice(letters) for _ in range(20_000))
+    ids, _ = own.encode([text])
+    assert ids.tolist() == lib.encode(text, add_special_tokens=False).ids and own.decode(ids).decode() == text
+
+
+def test_a_million_letters_take_seconds(both):
+    import time
+
+    own, _ = both
+    r = random.Random(4)
+    text = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    began = time.time()
+    own.encode([text])
+    assert time.time() - began < 20
+
+
+def test_other_vocabularies_are_refused():
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    for part, value in (("normalizer", {"type": "NFC"}), ("pre_tokenizer", {"type": "Whitespace"})):
+        with pytest.raises(ValueError):
+            bpe.check({**spec, part: value})

@@ -22,18 +22,47 @@ from locusmill.llm._words import lean
 from locusmill.llm.vectors import SHARD, beside, best, by_shard, matrix, queries_of, ranked, to_shards, valid
 
 EXACT = float(1 << 53)
+DENSE = 16  # products of pairs one by one cost about as much as this many in a matrix product
+
+
+def _exact(q: np.ndarray, v: np.ndarray) -> bool:
+    """Whether every inner product of rows of q and v, all whole numbers, and every part of its sum are exact in doubles."""
+    return float(np.abs(q).max(initial=0)) / EXACT * float(np.abs(v).max(initial=0)) * q.shape[1] < 1
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row inner products of integers held as doubles, as int64; beyond 2^53 in Python integers, held to the range of long."""
     if not len(a):
         return np.empty(0, np.int64)
-    if float(np.abs(a).max()) / EXACT * float(np.abs(b).max()) * a.shape[1] < 1:
+    if _exact(a, b):
         return np.einsum("ij,ij->i", a, b).astype(np.int64)
     out = [sum(int(x) * int(y) for x, y in zip(r, s)) for r, s in zip(a, b)]
     return np.array([min(max(x, -(1 << 63)), (1 << 63) - 1) for x in out], np.int64)
 
 
+def _reaching(q: np.ndarray, v: np.ndarray, may: np.ndarray, kth: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Query, candidate and exact score of the pairs marked in may, without those below the query's kth or below k others of the same query here.
+
+    Where many pairs are marked their products are one matrix product, which is exact below 2^53 in whatever order it is summed."""
+    rows, cols = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
+    if DENSE * np.count_nonzero(may) >= len(rows) * len(cols) > 0 and _exact(q[rows], v[cols]):
+        score = q[rows] @ v[cols].T
+        score[~may[np.ix_(rows, cols)]] = -np.inf
+        least = kth[rows].copy()
+        loose = np.flatnonzero(np.isneginf(least))
+        if len(loose) and len(cols) > k:
+            least[loose] = np.partition(score[loose], len(cols) - k, axis=1)[:, len(cols) - k]
+        i, j = np.nonzero((score >= least[:, None]) & np.isfinite(score))
+        yield rows[i], cols[j], score[i, j].astype(np.int64)
+        return
+    i, j = np.nonzero(may)
+    for c in range(0, len(i), 1 << 16):
+        x, y = i[c : c + (1 << 16)], j[c : c + (1 << 16)]
+        score = _products(q[x], v[y])
+        keep = score >= kth[x]
+        yield x[keep], y[keep], score[keep]
+
+
 class Prepared:
     """A shard's vectors by descending length, in units of the largest component, with the rotated first coordinates and the length of the rest."""
 
@@ -68,12 +97,9 @@ def search(q_ids: np.ndarray, q: np.ndarray, p: Prepared, k: int, kth: np.ndarra
         at = slice(a, min(a + block, len(p.ids)))
         bound = first[open_] @ p.first[at].T + rest[open_][:, None] * p.rest[at][None]
         bound += slack * q_len[open_][:, None] * p.length[at][None]
-        i, j = np.nonzero((bound >= least[open_][:, None]) & (q_ids[open_][:, None] != p.ids[at][None]))
-        for c in range(0, len(i), 1 << 16):
-            x, y = open_[i[c : c + (1 << 16)]], a + j[c : c + (1 << 16)]
-            score = _products(q[x], p.v[y])
-            keep = score >= kth[x]
-            got_q, got_id, got_score = np.r_[got_q, x[keep]], np.r_[got_id, p.ids[y][keep]], np.r_[got_score, score[keep]]
+        may = (bound >= least[open_][:, None]) & (q_ids[open_][:, None] != p.ids[at][None])
+        for x, y, score in _reaching(q[open_], p.v[at], may, kth[open_], k):
+            got_q, got_id, got_score = np.r_[got_q, open_[x]], np.r_[got_id, p.ids[at][y]], np.r_[got_score, score]
             stay = best(got_q, got_id, got_score, k)
             got_q, got_id, got_score = got_q[stay], got_id[stay], got_score[stay]
             full = np.bincount(got_q, minlength=len(q)) >= k

@@ -44,6 +44,19 @@ def test_exact(spark):
     assert topk.top_k(frame(spark, []), every=4).count() == 0
 
 
+def test_many_and_few_survivors():
+    rng = np.random.default_rng(3)
+    flat = rng.integers(-4, 5, (1500, 4)).astype(float)  # bounds part nothing, ties are many
+    steep = np.round(rng.normal(size=(1500, 12)) * np.geomspace(300, 1, 12)) * rng.choice([1.0, 40.0], (1500, 1))
+    for v in (flat, steep, steep * 2.0**14):
+        ids = rng.permutation(len(v))
+        q, q_ids = v[::25], ids[::25]
+        x, y, score = topk.search(q_ids, q, topk.Prepared(ids, v), 5, block=200)
+        for r in range(len(q)):
+            inner = sorted((-sum(int(a) * int(b) for a, b in zip(q[r], w)), int(i)) for i, w in zip(ids, v) if i != q_ids[r])
+            assert sorted(zip((-score[x == r]).tolist(), y[x == r].tolist())) == inner[:5]
+
+
 def test_exact_sql(spark):
     embeddings = frame(spark, [x for x in data() if x[0] not in (9100,)]).toPandas()
     con = duckdb.connect()

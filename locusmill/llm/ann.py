@@ -115,6 +115,7 @@ def layer(x: np.ndarray, nodes: np.ndarray, most: int, above: list[np.ndarray])
     # lifted vectors are equally long, so the nearest one has the largest product; but products of far too long vectors say nothing of distances
     length = np.sqrt((x[:, :-1] ** 2).sum(1))
     flat = x.astype(np.float32) if length.max(initial=0) <= 30 * np.median(length) else None
+    near_by = x if flat is None else flat  # of like lengths, distances of 32-bit floats will do
     upper = int((above[-1] >= 0).any(1).sum()) if above else 0
     done = 0
     while done < len(nodes):
@@ -122,7 +123,7 @@ def layer(x: np.ndarray, nodes: np.ndarray, most: int, above: list[np.ndarray])
         pool = np.full((len(new), POOL + BESIDE), -1, np.int32)
         for a in range(0, len(new), AT_ONCE):
             some = new[a : a + AT_ONCE]
-            inner = _apart(x[some], x[new])
+            inner = _apart(near_by[some], near_by[new])
             inner[np.arange(len(some)), a + np.arange(len(some))] = np.inf
             want = min(BESIDE if done else POOL, len(new) - 1)
             if want > 0:
@@ -139,8 +140,8 @@ def layer(x: np.ndarray, nodes: np.ndarray, most: int, above: list[np.ndarray])
                 for table in above:
                     start, _ = _beam(score, table, start, 8, 2)
             pool[a : a + AT_ONCE, BESIDE:], _ = _beam(score, near, start, POOL, 8)
-        near[new] = _thin(x, new, pool, most)
-        _link_back(x, near, new, most)
+        near[new] = _thin(near_by, new, pool, most)
+        _link_back(near_by, near, new, most)
         done += len(new)
     return near
 

@@ -82,6 +82,28 @@ def overlap_join(left: DataFrame, right: DataFrame, bucket: int = 1 << 14, how:
     return a.join(b, on).where(F.col("__b") == first).drop("__b", "__rb")
 
 
+def overlap_totals(left: DataFrame, right: DataFrame, by: list[str], tile: int = TILE) -> DataFrame:
+    """by, pairs, bases: how many pairs overlap_join() has for each value of right's columns `by`, and how many positions they share in all.
+
+    No pair is made. An interval of right meets the intervals of left that start before its end, less those that end at or before its start; the positions
+    shared are those covered up to its end, less those up to its start. Both are running sums over positions, at which rows are counted first."""
+    event = lambda at, **v: F.struct(F.col(at).cast("long").alias("pos"), *[F.lit(x).alias(n) for n, x in v.items()])
+    own = left.where("start < end AND contig IS NOT NULL").select("contig", F.explode(F.array(event("start", s=1, e=0), event("end", s=0, e=1))).alias("v"))
+    own = own.groupBy("contig", F.col("v.pos").alias("pos")).agg(F.sum("v.s").alias("__s"), F.sum("v.e").alias("__e"))
+    # at one position: ends of right, then left, then starts of right
+    asked = right.where("start < end AND contig IS NOT NULL").select("contig", F.struct(*by).alias("__by"), F.explode(F.array(event("start", k=2), event("end", k=0))).alias("v"))
+    asked = asked.groupBy("contig", "__by", F.col("v.pos").alias("pos"), F.col("v.k").alias("__k")).agg(F.count(F.lit(1)).alias("__m"))
+    rows = tiled(own.withColumn("__k", F.lit(1)).unionByName(asked, allowMissingColumns=True), F.col("pos"), tile)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    sums = {"__starts": ("sum", zero(F.col("__s"))), "__ends": ("sum", zero(F.col("__e"))), "__at": ("sum", zero(F.col("pos") * (F.col("__s") - F.col("__e"))))}
+    rows = running(rows, ["contig"], ["pos", "__k"], sums).where("__k <> 1")
+    upto = F.col("pos") * (F.col("__starts") - F.col("__ends")) - F.col("__at")
+    pairs = F.when(F.col("__k") == 0, F.col("__starts")).otherwise(-F.col("__ends"))
+    bases = F.when(F.col("__k") == 0, upto).otherwise(-upto)
+    out = rows.groupBy("__by").agg(F.sum(F.col("__m") * pairs).alias("pairs"), F.sum(F.col("__m") * bases).alias("bases"))
+    return out.where("pairs > 0").select("__by.*", "pairs", "bases")
+
+
 def intersect(left: DataFrame, right: DataFrame, **options) -> DataFrame:
     """Common parts, with left's payload."""
     other = [c for c in left.columns if c not in KEY]

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import html as entities
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -276,19 +277,22 @@ def _node_rows(page: Page, host: int, weight: float, out: list[tuple]) -> None:
             out.append((k, host, None, None, None, 1, f, weight))
 
 
-def composed(nodes: list[tuple], rest: dict[int, float]) -> dict[int, tuple[float, bool]]:
+UNITS = 1e9  # sums of importance are whole numbers of this part of one, so that no order of adding them changes the result
+
+
+def composed(nodes: list[tuple], rest: dict[int, int]) -> dict[int, tuple[float, bool]]:
     """key -> (importance, whether it is low, so is everything below, and there is any text) of one host's nodes.
 
-    nodes, deepest first: key, parent, children of the parent, pages, styles, presentation, content (None for inner nodes); rest: for each parent the sum of
-    pages over children of its children that few pages have, which count as important."""
+    nodes, deepest first: key, parent, children of the parent, pages, part of the children (0.9^styles), presentation, content (None for inner nodes); rest: for
+    each parent the sum (in UNITS) of pages over children of its children that few pages have, which count as important. by_levels() says the same."""
     below, high, holds, out = dict(rest), set(rest), set(rest), {}
-    for key, parent, beside, pages, styles, presentation, content in nodes:
-        part = GAMMA**styles
-        importance = round(content if content is not None else (1 - part) * presentation + part * below.get(key, 0.0) / pages, 9)
+    for key, parent, beside, pages, part, presentation, content in nodes:
+        importance = content if content is not None else (1 - part) * presentation + part * (below.get(key, 0) / UNITS) / pages
+        importance = math.floor(importance * UNITS + 0.5) / UNITS
         low, any_text = importance < LOW and key not in high, content is not None or key in holds
         out[key] = importance, low and any_text
         if parent is not None:
-            below[parent] = below.get(parent, 0.0) + pages * importance / beside
+            below[parent] = below.get(parent, 0) + math.floor(pages * importance / beside * UNITS + 0.5)
             if not low:
                 high.add(parent)
             if any_text:
@@ -296,13 +300,46 @@ def composed(nodes: list[tuple], rest: dict[int, float]) -> dict[int, tuple[floa
     return out
 
 
+def _units(x: Column) -> Column:
+    return F.floor(x * F.lit(UNITS) + F.lit(0.5))
+
+
+def by_levels(kept: DataFrame) -> DataFrame:
+    """composed() of hosts of any size: columns of TREE. One level of depth after the other, the deepest first, each a join with the sums of the one below."""
+    own = [F.max(c).alias(c) for c in ("host", "parent", "depth", "beside", "pages", "styles", "part", "presentation", "content")]
+    nodes = written(kept.groupBy("key").agg(*own, F.sum("rest").alias("rest"), F.max("own").alias("own")).where("own").drop("own"), "site-levels")
+    deepest = nodes.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
+    levels: list[DataFrame] = []
+    for depth in range(deepest, -1, -1):
+        rows = nodes.where(F.col("depth") == depth)
+        if levels:
+            given = levels[-1].groupBy("parent").agg(F.sum("gives").alias("__below"), F.max(~F.col("low")).alias("__high"), F.max("any_text").alias("__holds")).withColumnRenamed("parent", "__parent")
+            rows = rows.join(given, F.col("key") == F.col("__parent"), "left")
+        else:
+            rows = rows.withColumns({"__below": F.lit(0).cast("long"), "__high": F.lit(False), "__holds": F.lit(False)})
+        few = F.col("rest").isNotNull()
+        below = F.coalesce("__below", F.lit(0)) + F.coalesce("rest", F.lit(0))
+        inner = (1 - F.col("part")) * F.col("presentation") + F.col("part") * (below / F.lit(UNITS)) / F.col("pages")
+        rows = rows.withColumn("importance", _units(F.coalesce("content", inner)) / F.lit(UNITS))
+        rows = rows.withColumn("low", (F.col("importance") < LOW) & ~few & ~F.coalesce("__high", F.lit(False))).withColumn("any_text", F.col("content").isNotNull() | few | F.coalesce("__holds", F.lit(False)))
+        rows = rows.withColumn("gives", _units(F.col("pages") * F.col("importance") / F.col("beside")))
+        levels.append(written(rows.select("host", "key", "parent", "depth", "pages", "styles", "importance", "low", "any_text", "gives"), "site-level"))
+    every = functools.reduce(DataFrame.union, levels)
+    gone = F.col("low") & F.col("any_text")
+    above = every.where(gone).select(F.col("key").alias("__above"))
+    out = every.join(above, F.col("parent") == F.col("__above"), "left")
+    out = written(out.select("host", "key", "parent", "depth", "pages", "styles", "importance", (gone & F.col("__above").isNull()).alias("noise")), "site-composed")
+    dropped(nodes, *levels)
+    return out
+
+
 def site_tree(pages: DataFrame, url: str = "url", html: str = "html", most: int = 200_000) -> DataFrame:
     """The hosts' style trees: host and key (digests), parent, depth, pages, styles, importance, noise (whether it is to be removed from pages).
 
     Nodes that at least LEAST_PAGES different pages of a host have. Pages of a host with one story count once, whatever navigation, adverts and footers they
     have: a story that copies repeat weighs as much as one that stands alone. Pages without a host are in no tree. Counts
-    are pre-aggregated, also of hosts with very many pages. Importance is composed in one task for each host of up to `most` nodes; of larger hosts only leaves
-    are judged, each by itself, which takes the same blocks from every page: what is below a noisy node is noise by itself."""
+    are pre-aggregated, also of hosts with very many pages. Importance is composed in one task for each host of up to `most` nodes, and level by level
+    over all tasks for larger ones, with the same results: both add whole numbers up, and round alike."""
     value = pages[html].cast("string")
     src = pages.select(_host_key(pages[url]).alias("host"), F.xxhash64(value).alias("dg"), value.alias("html")).where("host IS NOT NULL AND html IS NOT NULL")
 
@@ -335,11 +372,11 @@ def site_tree(pages: DataFrame, url: str = "url", html: str = "html", most: int
     )
     own = F.col("pages") >= LEAST_PAGES
     kept = nodes.groupBy(F.when(own, F.col("key")).otherwise(F.col("parent")).alias("key"), own.alias("own")).agg(
-        F.sum(F.when(~own, F.col("pages") / F.col("beside"))).alias("rest"), *[F.min(F.when(own, F.col(c))).alias(c) for c in ("pages", "styles", "spread", "features", "shared", "parent", "depth", "beside")], F.min("host").alias("host"),
+        F.sum(F.when(~own, _units(F.col("pages") / F.col("beside")))).alias("rest"), *[F.min(F.when(own, F.col(c))).alias(c) for c in ("pages", "styles", "spread", "features", "shared", "parent", "depth", "beside")], F.min("host").alias("host"),
     )
     log_pages = F.log("pages")
     presentation, content = 1 - F.col("spread") / (F.col("pages") * log_pages), F.when(F.col("features") > 0, 1 - F.col("shared") / (F.col("features") * log_pages))
-    kept = written(kept.where("key IS NOT NULL").select("host", "key", "own", "rest", "parent", "depth", "beside", "pages", "styles", presentation.alias("presentation"), content.alias("content")), "site-nodes")
+    kept = written(kept.where("key IS NOT NULL").select("host", "key", "own", "rest", "parent", "depth", "beside", "pages", "styles", F.pow(F.lit(GAMMA), "styles").alias("part"), presentation.alias("presentation"), content.alias("content")), "site-nodes")
     dropped(one)
     sizes = written(kept.groupBy(F.col("host").alias("__host")).agg(F.count(F.lit(1)).alias("__n")), "hosts")
     sized = kept.join(small(sizes), F.col("host") == F.col("__host"))
@@ -348,15 +385,18 @@ def site_tree(pages: DataFrame, url: str = "url", html: str = "html", most: int
         got = [r for r in t.to_pylist() if r["own"]]
         got.sort(key=lambda r: (-r["depth"], r["key"]))
         rest = {r["key"]: r["rest"] for r in t.to_pylist() if not r["own"]}
-        made = composed([(r["key"], r["parent"], r["beside"], r["pages"], r["styles"], r["presentation"], r["content"]) for r in got], rest)
+        made = composed([(r["key"], r["parent"], r["beside"], r["pages"], r["part"], r["presentation"], r["content"]) for r in got], rest)
         noise = [made[r["key"]][1] and not (r["parent"] in made and made[r["parent"]][1]) for r in got]
         named = {c: [r[c] for r in got] for c in ("host", "key", "parent", "depth", "pages", "styles")}
         return pa.table({**named, "importance": [made[r["key"]][0] for r in got], "noise": noise}, schema=TREE)
 
     whole = sized.where(F.col("__n") <= most).drop("__host", "__n").groupBy("host").applyInArrow(tree, "host long, key long, parent long, depth int, pages double, styles long, importance double, noise boolean")
-    by_leaf = sized.where((F.col("__n") > most) & F.col("own") & F.col("content").isNotNull())
-    by_leaf = by_leaf.select("host", "key", "parent", "depth", "pages", "styles", F.col("content").alias("importance"), (F.round("content", 9) < LOW).alias("noise"))
-    out = written(whole.union(by_leaf), "site-tree")
+    if sizes.where(F.col("__n") > most).isEmpty():
+        out = written(whole, "site-tree")
+    else:
+        large = by_levels(sized.where(F.col("__n") > most).drop("__host", "__n"))
+        out = written(whole.union(large), "site-tree")
+        dropped(large)
     dropped(kept, sizes)
     return out
 

@@ -7,6 +7,7 @@ import pytest
 import sqlcheck
 
 from conftest import rows
+from locusmill.llm import html
 from locusmill.operators import intervals as I
 from locusmill.plans.queries import ORACLES, QUERIES
 
@@ -87,3 +88,29 @@ def test_x1_where_numbers_collide(spark, tables):
 def test_c11_where_numbers_collide(spark, tables):
     tables(lineitem=colliding(spark))
     assert sqlcheck.same(spark, QUERIES["c11_covered_reference"], ORACLES["c11_covered_reference"]) > 100
+
+
+def mixed_pages():
+    """Pages of three hosts with boxes that hold a text on some pages and stories on others, menus, and layouts that few pages share."""
+    rng = random.Random(5)
+    out = []
+    for h in range(3):
+        for i in range(40):
+            box = "Share this page" if i % 2 else f"<p>Story {i} of host {h} by nobody else.</p><p>And {rng.randrange(3)} more.</p>"
+            deep = "<div>" * (i % 5) + f"<p>All the same. Part {i % 3}.</p>" + "</div>" * (i % 5)
+            menu = "".join(f"<div><p>Entry {k}</p></div>" for k in range(rng.choice([2, 2, 2, 3])))
+            out.append((len(out), f"http://h{h}.example/{i}", f"<body><div class=top>{menu}</div><div class=box>{box}</div><div class=k{i % 4}>{deep}<p>Text {i} {h}</p></div><div class=end>{deep}</div></body>"))
+    return out
+
+
+def test_op8_trees_of_large_hosts_are_the_same(spark, monkeypatch):
+    df = spark.createDataFrame(mixed_pages(), "page_id long, url string, html string").repartition(3)
+    want, named = rows(html.site_tree(df)), html.site_tree(df).columns
+    assert any(r[named.index("noise")] for r in want)
+    whole, texts = html.site_tree, rows(html.extract(df))
+    for most in (1, len(want) // 3):
+        assert rows(whole(df, most=most).select(named)) == want
+    monkeypatch.setattr(html, "site_tree", lambda *a: whole(*a, most=1))
+    assert rows(html.extract(df)) == texts
+    assert {r[0]: r[2] for r in texts}[0].startswith("Story 0 of host 0")
+    assert rows(whole(df.where("page_id < 3"), most=1)) == []
